@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm import licenses, quality
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -19,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.host_quality(documents(spark, sf_dir))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(documents(spark, sf_dir))
 
@@ -31,9 +36,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_matroska, op5_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op2_host_quality, op4_matroska, op5_packing, op7_token_counts, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_host_quality": quality.ORACLE, "op8_licenses": licenses.ORACLE}
