@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import licenses, quality
+from readloom.llm import licenses, quality, toxicity
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -40,8 +40,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_quality, op4_matroska, op5_packing, op7_token_counts, op8_licenses)}
+    return {f.__name__: f for f in (op2_host_quality, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
