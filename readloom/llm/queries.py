@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import licenses, quality, toxicity
+from readloom.llm import licenses, quality, simhash, toxicity
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -24,6 +24,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_quality, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
+    return {f.__name__: f for f in (op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
