@@ -73,3 +73,18 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             n, size, ids, texts = n + 1, 0, [], []
     if ids:
         yield base | n, ids, texts
+
+
+BLOCK_ROWS = "block long, nth int, doc_id long, text binary"
+
+
+def block_rows(scan: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows (doc_id, bytes) with the id of their block, as ``blocks`` gives it, and their place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in blocks(batches, limit):
+            for at in range(0, len(ids), 512):
+                part = texts[at : at + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(ids[at : at + 512], pa.int64()), pa.array(part, pa.binary())], ["block", "nth", "doc_id", "text"])
+
+    return scan.mapInArrow(run, BLOCK_ROWS)

@@ -14,11 +14,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REQUESTS = "bucket int, block long, payload binary"
-ANSWERS = "block long, bucket int, payload binary"
+ANSWERS = "block long, bucket int, payload binary, sums array<long>"
 _R = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
-_A = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+_A = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("sums", pa.list_(pa.int64()))])
+#: The block of the row that carries the sums of a bucket.
+SUMS = -1
 
 
 def squeeze(data: bytes) -> bytes:
@@ -34,24 +37,31 @@ def request_batch(block: int, payloads: dict[int, bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(payloads), pa.int32()), pa.array([block] * len(payloads), pa.int64()), pa.array(list(payloads.values()), pa.binary())], schema=_R)
 
 
-def answer(requests: DataFrame, work: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Answers of all buckets. work: gets what the blocks sent to one bucket, in the order of their ids, and gives an answer to each."""
+def answer(requests: DataFrame, work: Callable[[list[bytes]], tuple[list[bytes], list[int]]]) -> DataFrame:
+    """Answers of all buckets. work: gets what the blocks sent to one bucket, in the order of their ids, and gives an answer to each, and sums of the bucket."""
 
     def bucket(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        got = work(table["payload"].to_pylist())
-        return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(got, pa.binary())], schema=_A)
+        got, sums = work(table["payload"].to_pylist())
+        n = table["bucket"][0].as_py()
+        return pa.Table.from_arrays([pa.array([*table["block"].to_pylist(), SUMS], pa.int64()), pa.array([n] * (len(got) + 1), pa.int32()), pa.array([*got, None], pa.binary()), pa.array([None] * len(got) + [sums], pa.list_(pa.int64()))], schema=_A)
 
     return requests.groupBy("bucket").applyInArrow(bucket, ANSWERS)
 
 
+def totals(answers: DataFrame, n: int) -> list[int]:
+    """The n sums of all buckets added up."""
+    found = answers.where(F.col("block") == SUMS).agg(*(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(n))).first()
+    return [x or 0 for x in found]
+
+
 def meet(answers: DataFrame, blocks: DataFrame, work: Callable[[list[bytes], pa.Table], pa.Table], schema: str) -> DataFrame:
     """Join answers with the rows of their blocks. work: gets the answers of one block by rising bucket, and the block's rows."""
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left.sort_by("bucket")["payload"].to_pylist(), right)
 
-    return answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(block, schema)
+    return answers.where(F.col("block") != SUMS).drop("sums").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(block, schema)
 
 
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,3 +79,27 @@ def to_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     """The bucket of each 64-bit hash: equal ranges of the hash space."""
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as compressed byte planes of their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return squeeze(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
+def framed(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out

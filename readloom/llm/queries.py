@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import licenses, quality, simhash, toxicity
+from readloom.llm import language_model, licenses, quality, simhash, toxicity
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

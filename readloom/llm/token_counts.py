@@ -84,12 +84,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
             order, found, starts = by_bucket(slot(tokens))
             yield request_batch(block, {int(b): _pack([tokens[i] for i in order[s:e]]) for b, s, e in zip(found, starts, starts[1:])})
 
-    def count(payloads: list[bytes]) -> list[bytes]:
+    def count(payloads: list[bytes]) -> tuple[list[bytes], list[int]]:
         cut, asked = PreTokens(tokenizer), [_unpack(p) for p in payloads]
         place = {t: i for i, t in enumerate(dict.fromkeys(t for tokens in asked for t in tokens))}
         tokens = list(place)
         pieces = np.concatenate([np.zeros(0, np.uint32), *(cut.pieces(tokens[i : i + 4096]) for i in range(0, len(tokens), 4096))])
-        return [squeeze(pieces[[place[t] for t in tokens]].astype("<u4").tobytes()) for tokens in asked]
+        return [squeeze(pieces[[place[t] for t in tokens]].astype("<u4").tobytes()) for tokens in asked], []
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = PreTokens(tokenizer)
