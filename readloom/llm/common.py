@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,16 +76,29 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield base | n, ids, texts
 
 
-BLOCK_ROWS = "block long, nth int, doc_id long, text binary"
+BLOCK_ROWS = "block long, nth int, ids array<long>, sizes array<long>, text binary"
 
 
 def block_rows(scan: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The rows (doc_id, bytes) with the id of their block, as ``blocks`` gives it, and their place in it."""
+    """The rows (doc_id, bytes) by block, as ``blocks`` gives it, some in a row: nth is the place of the first, text all their bytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in blocks(batches, limit):
             for at in range(0, len(ids), 512):
                 part = texts[at : at + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(ids[at : at + 512], pa.int64()), pa.array(part, pa.binary())], ["block", "nth", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([ids[at : at + 512]], pa.list_(pa.int64())), pa.array([list(map(len, part))], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(part), 1)], pa.binary())], ["block", "nth", "ids", "sizes", "text"])
 
     return scan.mapInArrow(run, BLOCK_ROWS)
+
+
+def block_texts(table: pa.Table) -> tuple[list, list[bytes]]:
+    """(doc_ids, texts) of the rows of one block of ``block_rows``."""
+    ids: list = []
+    texts: list[bytes] = []
+    for row in table.sort_by("nth").to_pylist():
+        data, at = zstandard.decompress(row["text"]), 0
+        ids += row["ids"]
+        for n in row["sizes"]:
+            texts.append(data[at : at + n])
+            at += n
+    return ids, texts

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import block_rows, blocks, bucket_count, cut, utf8
+from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, utf8
 from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, totals, unframed, unpack_sorted, unsqueeze
 
 ORDER, MAX_ORDER = 2, 8
@@ -176,8 +176,8 @@ def score(docs: DataFrame, order: int = ORDER, parts: int = 7, part: int = 2) ->
     n, kinds, _ = sums[0]
 
     def traverse(got: list[bytes], block: pa.Table) -> pa.Table:
-        block = block.sort_by("nth")
-        ids, grams = block["doc_id"].to_pylist(), Grams(block["text"].to_pylist(), order)
+        ids, texts = block_texts(block)
+        grams = Grams(texts, order)
         counts = np.concatenate([np.frombuffer(unsqueeze(a), np.uint64) for a in got]).astype(np.int64)
         automaton = Automaton(grams, counts, sums)
         own = counts[grams.at[0]]

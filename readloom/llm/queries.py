@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import language_model, licenses, quality, simhash, toxicity
+from readloom.llm import language_model, licenses, quality, simhash, suffix_dedup, toxicity
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -48,12 +48,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
