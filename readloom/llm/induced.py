@@ -14,6 +14,8 @@ import numpy as np
 
 #: Bytes that the queues of one scan hold in memory.
 HELD = 64 << 20
+#: Positions that one step of a scan takes at once, about.
+PIECE = 1 << 18
 
 
 class Queues:
@@ -47,17 +49,26 @@ class Queues:
         return np.frombuffer(self.file.read(8 * part[1]), np.int64)
 
     def take(self, symbol: int) -> list[np.ndarray]:
-        """What was put for a symbol, in order; the queue is empty then."""
+        """What was put for a symbol, in order and in a few large pieces; the queue is empty then."""
         parts = self.parts.pop(symbol, [])
         self.size -= sum(p.nbytes for p in parts if isinstance(p, np.ndarray))
-        return [self._read(p) for p in parts]
+        out: list[np.ndarray] = []
+        some: list[np.ndarray] = []
+        for part in map(self._read, parts):
+            some.append(part)
+            if sum(map(len, some[-2:])) > PIECE or len(some) == 1 << 12:
+                out, some = [*out, np.concatenate(some)], []
+        return [*out, np.concatenate(some)] if some else out
 
     def put_by(self, symbols: np.ndarray, positions: np.ndarray) -> None:
         """Put each position into its symbol's queue, in order."""
+        if not len(symbols):
+            return
         order = np.argsort(symbols, kind="stable")
-        found, starts = np.unique(symbols[order], return_index=True)
-        for s, part in zip(found.tolist(), np.split(positions[order], starts[1:])):
-            self.put(s, part)
+        symbols, positions = symbols[order], positions[order]
+        starts = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
+        for s, a, b in zip(symbols[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(symbols)]):
+            self.put(s, positions[a:b])
 
     def close(self) -> None:
         if self.file:
