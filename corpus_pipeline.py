@@ -1,4 +1,51 @@
-"""Placeholder of the pipeline until its stages are there."""
-STAGES = []
+"""From raw documents to packed sequences: five stages, each written and read again before the next."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from readloom.llm import packing, quality, simhash, suffix_dedup, toxicity
+from readloom.llm.common import documents, shared_dir
+from readloom.llm.queries import vocabulary
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not predicted toxic."""
+    return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the quality rules, from hosts that do."""
+    return quality.keep_good(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that occur earlier."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", civil), ("quality rules", good), ("SimHash near-dedup", unlike), ("suffix-array dedup", unrepeated), ("packing", packed)]
+
+#: SQL can express neither the trained classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder. What a stage keeps is written to the shared folder as Parquet and read again."""
+    folder, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return docs
