@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import language_model, licenses, quality, simhash, suffix_dedup, toxicity
+from readloom.llm import language_model, licenses, pieces, quality, simhash, suffix_dedup, toxicity
 from readloom.llm.common import documents
 from readloom.llm.matroska import media_round_trip
 from readloom.llm.packing import pack
@@ -40,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op7_token_counts, op8_licenses, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op6_pieces, op7_token_counts, op8_licenses, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
