@@ -75,7 +75,7 @@ def n_ambiguous(sequence: Column) -> Column:
 def sideband(sequence: Column) -> Column:
     """(pos, base) of each base that is not A, C, G or T, from position 0."""
     bases = F.transform(F.split(sequence, ""), lambda b, i: F.struct(i.alias("pos"), b.alias("base")))
-    return F.filter(bases, lambda x: ~x["base"].rlike("^[ACGTacgt]?$"))
+    return F.filter(bases, lambda x: ~x["base"].rlike(r"^[ACGTacgt]?\z"))
 
 
 def pack(sequence: Column) -> Column:
@@ -121,7 +121,7 @@ def _packed_size(each: int) -> Callable[[Column], Column]:
 
 def run_lengths(sequence: Column) -> Column:
     """(base, count) of the runs of a sequence, longer ones split so that a count fits a byte."""
-    whole = F.regexp_extract_all(sequence, F.lit(r"((.)\2*)"), 1)
+    whole = F.regexp_extract_all(sequence, F.lit(r"(?s)((.)\2*)"), 1)
     split = F.transform(whole, lambda r: F.transform(F.sequence(F.lit(0), ((F.length(r) - 1) / 255).cast("int")), lambda i: F.struct(F.left(r, F.lit(1)).alias("base"), F.least(F.lit(255), F.length(r) - i * 255).alias("count"))))
     return F.when(F.length(sequence) > 0, F.flatten(split)).otherwise(F.array().cast("array<struct<base:string,count:int>>"))
 

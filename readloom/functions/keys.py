@@ -43,7 +43,7 @@ def minimizer(sequence: Column, k: int = MINIMIZER_K, w: int = MINIMIZER_W) -> C
     """The least canonical k-mer of a read; null if the read has fewer than k + w - 1 bases or any is not A, C, G or T."""
     if not (1 <= k <= 32 and w >= 1):
         raise InvalidOption("k must be from 1 to 32 and w at least 1")
-    usable = sequence.rlike(f"^[ACGTacgt]{{{k + w - 1},}}$")
+    usable = sequence.rlike(rf"^[ACGTacgt]{{{k + w - 1},}}\z")
     if k > _ROOM:
         upper = _upper(sequence)
         starts = F.sequence(F.lit(1), F.length(sequence) - k + 1)

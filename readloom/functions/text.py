@@ -50,7 +50,7 @@ def checked(reads: DataFrame) -> DataFrame:
 
 def canonical(sequence: str = "sequence") -> Column:
     """Whether all bases are A, C, G or T, in either case."""
-    return F.col(sequence).rlike("^[ACGTacgt]*$")
+    return F.col(sequence).rlike(r"^[ACGTacgt]*\z")
 
 
 def shown(name: str = "name", sequence: str = "sequence") -> Column:
