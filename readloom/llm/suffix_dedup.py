@@ -70,7 +70,8 @@ def fragments(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nd
         nth, origin = np.array([g[0] for g in group])[text[a]], np.array([g[1] for g in group])[text[a]] - base[text[a]]
         joined, place = data.tobytes(), at[a] - a
         mark = np.array([xxh3_64_intdigest(joined[x : y + width], z) for x, y, z in zip(a.tolist(), b.tolist(), place.tolist())], np.uint64)
-        out.append((nth, a + origin, b + origin, h[a], mark))
+        spread = (h[a] ^ h[a] >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)  # least hashes are small ones: deal them out evenly
+        out.append((nth, a + origin, b + origin, spread ^ spread >> np.uint64(29), mark))
 
     held = 0
     for n, t in enumerate(texts):
