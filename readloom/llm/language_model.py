@@ -88,12 +88,14 @@ class Automaton:
         uniform = 1 / (kinds + 1)
         self.stride = int(words.max()) + 1 if len(words) else 1
         p, state = np.zeros(len(counts)), np.zeros(len(counts), np.int64)  # the state reached after a gram
-        fails, weights = {0: -1}, {0: math.log10(shares[0] * uniform)}
+        fails, weights = np.full(len(counts) + 1, -1), np.full(len(counts) + 1, math.log10(shares[0] * uniform))
         keys, logs, nexts = [], [], []
         for k, at in enumerate(grams.at):
-            gram, i = np.unique(at, return_index=True)
-            gram, i = gram[gram >= 0], i[gram >= 0]
-            gram, i = gram[counts[gram] > 0], i[counts[gram] > 0]
+            i = np.flatnonzero(at >= 0)
+            first = np.zeros(len(counts), np.int64)
+            first[at[i[::-1]]] = i[::-1]
+            i = i[(first[at[i]] == i) & (counts[at[i]] > 0)]  # where grams occur first: arcs lie in memory as the traversal takes them
+            gram = at[i]
             word = words[i]
             shorter = grams.at[k - 1][i] if k else None
             context = grams.at[k - 1][i - 1] if k else None
@@ -106,11 +108,11 @@ class Automaton:
             logs.append(np.log10(p[gram]))
             nexts.append(state[gram])
             if k < order - 1:
-                fails.update(zip((gram[own] + 1).tolist(), (state[shorter[own]] if k else np.zeros(own.sum(), np.int64)).tolist()))
-                weights.update(dict.fromkeys((gram[own] + 1).tolist(), math.log10(shares[k + 1])))
+                fails[gram[own] + 1] = state[shorter[own]] if k else 0
+                weights[gram[own] + 1] = math.log10(shares[k + 1])
         self.logs, self.nexts = np.concatenate(logs).tolist(), np.concatenate(nexts).tolist()
         self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.logs))))
-        self.fails, self.weights = fails, weights
+        self.fails, self.weights = fails.tolist(), weights.tolist()
 
     def score(self, words: list[int]) -> float:
         arcs, logs, nexts, fails, weights, stride = self.arcs.get, self.logs, self.nexts, self.fails, self.weights, self.stride
