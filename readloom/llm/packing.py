@@ -8,6 +8,7 @@ training batch draws from one bucket.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,31 +25,55 @@ SEPARATOR = 2
 #: Entries that one worker keeps of the ids of words.
 KEPT_WORDS = 300_000
 
+# How printable ASCII and the letters of Latin-1, which every version of Unicode treats alike, are cut when
+# lower-cased; and the bytes that stand for themselves in byte-level vocabularies, while others follow from U+0100 on. Chunks
+# with other characters are cut by the tokenizer itself.
+SETTLED = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+BYTE_LEVEL = dict(zip((b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)), range(256, 512)))
+
+
+class PartIds(dict):
+    """Little-endian 32-bit ids by pre-token. Bounded: it starts afresh when full."""
+
+    def __init__(self, model, kept: int = KEPT_WORDS):
+        self.tokenize, self.kept = model.tokenize, kept
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.kept:
+            self.clear()
+        ids = [t.id for t in self.tokenize(part)]
+        self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
 
 class WordIds(dict):
-    """Little-endian 32-bit ids by white-space-free chunk of text, for tokenizers that drop white space. Bounded: it starts afresh when full."""
+    """The same by white-space-free chunk of text, for tokenizers that drop white space."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.normal, self.cut, self.kept = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer, kept
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self.normal, self.cut, self.kept = self.whole.normalizer, self.whole.pre_tokenizer, kept
+        self.parts = PartIds(self.whole.model, kept)
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or "(?!)")
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.kept:
             self.clear()
         text = chunk.decode("utf-8", "replace")
-        if any(x in text for x in self.added):
+        if self.added.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
-            if text.isascii() and text.isprintable():
-                parts = self.plain.findall(text.lower())
+            if SETTLED.fullmatch(text):
+                parts = PRE_TOKENS.findall(text.lower())
+                if not text.isascii():
+                    parts = [x.encode().decode("latin-1").translate(BYTE_LEVEL) for x in parts]
             else:
                 parts = [x for x, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
-            ids = [t.id for x in parts for t in self.model.tokenize(x)]
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+            out = b"".join(map(self.parts.__getitem__, parts))
+        self[chunk] = out
         return out
 
     def encode(self, text: bytes) -> bytes:
