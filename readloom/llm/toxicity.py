@@ -20,7 +20,7 @@ from readloom.llm.common import blocks, rows, utf8
 SAMPLE = 3000
 #: Bytes of each sampled text that training reads; whole texts are scored.
 SAMPLE_BYTES = 1 << 16
-BUCKETS, SIZE, WINDOW, GRAMS = 1 << 17, 4, 4, (3, 4, 5, 6)
+BUCKETS, SIZE, WINDOW, GRAMS = 1 << 17, 4, 2, (3, 4, 5, 6)
 EPOCHS, STEPS, BATCH, RATE, SEED = 15, 300, 256, 0.04, 7  # at least so many epochs and steps
 THRESHOLD = 0.3
 #: How much more the most toxic window counts at the end of training: by exp of this times the difference of scores.
