@@ -132,7 +132,8 @@ def test_suffix_dedup(spark, sample, odd, monkeypatch):
 
 
 def test_suffix_dedup_keeps_columns_and_characters(spark, odd):
-    text = "".join(random.Random(1).choice("éüx") for _ in range(300))
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("éüx") for _ in range(300))
     frame = spark.createDataFrame([(1, text, 9), (2, "ab" + text[1:] + "cd", 9), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in suffix_dedup.without_repeats(frame).collect()}
     assert got[1].text == text and got[1].n_chars == 300 and got[3].text is None and got[3].n_chars is None
