@@ -304,8 +304,8 @@ def _attach(rowed: DataFrame, new: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())], ["at", "n", "row"])
 
     places = rowed.select("__row", utf8()).mapInArrow(number, "at long, n long, row long")
-    found = new.join(places, (F.col("block") == F.col("at")) & (F.col("nth") == F.col("n"))).select("row", "new")
-    joined = rowed.join(found, F.col("__row") == F.col("row"))
-    text = F.when(F.col("text").isNotNull(), F.col("new"))
+    found = new.join(places, (F.col("block") == F.col("at")) & (F.col("nth") == F.col("n"))).select(F.col("row").alias("__of"), F.col("new").alias("__new"))
+    joined = rowed.join(found, F.col("__row") == F.col("__of"))
+    text = F.when(F.col("text").isNotNull(), F.col("__new"))
     values = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return joined.select(*(values.get(c, F.col(c)).alias(c) for c in names if c != "__row"))
