@@ -3,6 +3,9 @@
 Two 64-bit fingerprints that differ in at most two bits agree in one 32-bit half but for at most one bit. So each distinct
 fingerprint is indexed under every half with one bit struck out, equal keys are joined, and pairs are verified in full. Every
 pair is taken under one key only, and a bucket gives no more links than it has fingerprints.
+
+Near copies by word shingles (``similar_classes``) differ in far more bits. They are found by three fingerprints of longer shingles
+in 16-bit segments under one-wildcard variants, and every pair found is verified by the Jaccard similarity of its shingle sets.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from readloom.llm.common import blocks, cut, utf8
 from readloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
+#: Near copies: words of a shingle, least Jaccard similarity as a fraction of whole numbers, fingerprints of 64 bits, and of all these bits how many may differ.
+SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_DISTANCE = 5, (4, 5), 3, 52
 #: Fingerprints of one bucket that are compared with each other; those of larger buckets are linked by variants of two struck bits.
 COMPARED = 8192
 _LANES = np.uint64(0x0101010101010101)
@@ -38,29 +43,39 @@ def bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shingles(text: bytes, n: int) -> list[int]:
+    """Hashes of all runs of n words; a text of fewer words has its whole sequence as its one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) >= n else [b" ".join(words)] if words else []
+    return [xxh64_intdigest(g, SEED) for g in grams]
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes, signed."""
+    bits = 2 * bit_counts(hashes, sizes) > sizes[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].view(np.int64)
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, fp) of every row of docs; fp is the fingerprint as a signed long.
 
-    Words are parted by ASCII white space after lower-casing A-Z; a text of fewer than three words has its whole sequence as
-    its one shingle. Texts without words, and nulls, have fingerprint zero.
+    Words are parted by ASCII white space after lower-casing A-Z; a text of fewer words than a shingle has its whole sequence
+    as its one shingle. Texts without words, and nulls, have fingerprint zero.
     """
     kind = docs.schema[key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for _, ids, texts in blocks(batches, 2 << 20):
             hashes: list[int] = []
             sizes = []
             for t in texts:
-                words = t.lower().split()
-                grams = list(map(b" ".join, zip(words, words[1:], words[2:]))) if len(words) >= SHINGLE else [b" ".join(words)] if words else []
-                hashes += [xxh64_intdigest(g, SEED) for g in grams]
+                grams = shingles(t, shingle)
+                hashes += grams
                 sizes.append(len(grams))
-            size = np.array(sizes, np.int64)
-            bits = 2 * bit_counts(np.array(hashes, np.uint64), size) > size[:, None]
-            fp = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0].view(np.int64)
+            fp = majority(np.array(hashes, np.uint64), np.array(sizes, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(fp)], ["key", "fp"])
 
     return docs.select(F.col(key), utf8(text)).mapInArrow(run, f"key {kind}, fp long")
@@ -174,10 +189,117 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs but for near-duplicates: of each class the row of the least doc_id stays, of repeated rows one. docs must give the same rows when read again."""
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = hashes * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _marks(docs: DataFrame, key: str, text: str, shingle: int, prints: int) -> DataFrame:
+    """(key, digest, f0, f1, ...) of every row: a digest of its set of shingles and fingerprints of that set."""
+    names = [f"f{i}" for i in range(prints)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for _, ids, texts in blocks(batches, 2 << 20):
+            sets = [np.unique(np.array(shingles(t, shingle), np.uint64)) for t in texts]
+            hashes, sizes = np.concatenate(sets), np.array(list(map(len, sets)), np.int64)
+            digests = [xxh3_128_digest(h.tobytes()) for h in sets]
+            found = []
+            for _ in names:
+                found.append(pa.array(majority(hashes, sizes)))
+                hashes = _mixed(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), *found], ["key", "digest", *names])
+
+    return docs.select(F.col(key), utf8(text)).mapInArrow(run, ", ".join(["key long, digest binary", *(f"{f} long" for f in names)]))
+
+
+def _own(differing: list[np.ndarray]) -> np.ndarray:
+    """The first variant of ``similar_pairs`` that fingerprints share, by the bits in which they differ."""
+    parts = np.stack([d >> np.uint64(16 * s) & np.uint64(0xFFFF) for d in differing for s in range(4)], axis=1)
+    segment = (np.bitwise_count(parts) <= 1).argmax(axis=1)
+    part = parts[np.arange(len(parts)), segment]
+    return 16 * segment + np.where(part > 0, np.bitwise_count(part - np.minimum(part, np.uint64(1))), 0)
+
+
+def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFrame:
+    """(a, b): all pairs of the nodes (node, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit, each once."""
+    names = [c for c in nodes.columns if c != "node"]
+    v = F.col("v")
+    part = F.expr(f"shiftright(array({', '.join(names)})[cast(v / 64 as int)], 16 * (cast(v / 16 as int) % 4)) & 65535L & ~shiftleft(1L, v % 16)")
+    keyed = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(64 * len(names) - 1))).alias("v")).select((v * 65536 + part.cast("int")).alias("key"), "node", *names)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def close(keys: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, lag = np.flatnonzero(keys[1:] == keys[:-1]), 1
+        while len(at):
+            differing = [p[at] ^ p[at + lag] for p in prints]
+            near = sum(np.bitwise_count(d).astype(np.int32) for d in differing) <= distance
+            if near.any():
+                i = at[near]
+                i = i[_own([d[near] for d in differing]) == keys[i] >> 16]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i + lag])], ["a", "b"])
+            lag += 1
+            at = at[at + lag < len(keys)]
+            at = at[keys[at] == keys[at + lag]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the last bucket, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, node, *prints = (c.to_numpy() for c in batch.columns)
+            new = [k, node, *(p.view(np.uint64) for p in prints)]
+            if held and k[-1] == held[0][0][0]:
+                held.append(new)
+                continue
+            whole = [np.concatenate(c) for c in zip(*held, new)]
+            last = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield from close(*(c[:last] for c in whole))
+            held = [[c[last:] for c in whole]]
+        if held:
+            yield from close(*(np.concatenate(c) for c in zip(*held)))
+
+    return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of keys of docs whose sets of shingles, known by 64-bit hashes, have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, texts in blocks(batches, 2 << 20):
+            sets = [np.unique(np.array(shingles(t, shingle), np.uint64)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(docs.join(wanted, F.col(key) == F.col("node"), "left_semi").select(key, utf8(text)).mapInArrow(run, "node long, hashes array<long>"))
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
+    s, t = F.size("of_a"), F.size("of_b")
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").where(share[1] * F.least(s, t) >= share[0] * F.greatest(s, t))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return joined.where(share[1] * both >= share[0] * (s + t - both)).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, key: str, text: str = "text", shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY, prints: int = PRINTS, distance: int = SIMILAR_DISTANCE) -> DataFrame:
+    """(key, first): first is the least key among the rows that equal sets of shingles and verified pairs reach. Keys are distinct longs."""
+    marked = cut(_marks(docs, key, text, shingle, prints))
+    names = [f"f{i}" for i in range(prints)]
+    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(f).alias(f) for f in names)))
+    roots = components(verified(similar_pairs(nodes.drop("digest"), distance), docs, key, text, shingle, share)).withColumnRenamed("node", "of")
+    named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("root", "node").alias("first"))
+    return marked.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "first")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """The rows of docs but for near-duplicates: of each class the row of the least doc_id stays, of repeated rows one. docs must give the same rows when read again.
+
+    Classes are those of ``classes``, or with similar those of ``similar_classes``.
+    """
     rowed = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = classes(rowed.select("__row", text), "__row", text)
+    found = (similar_classes if similar else classes)(rowed.select("__row", text), "__row", text)
     order = F.struct(F.col(key).isNull(), F.col(key), "__row")
     ids = found.join(rowed.select("__row", key), "__row")
     kept = ids.groupBy("first").agg(F.min(order).alias("o")).select(F.col("o.__row").alias("__kept"))

@@ -57,6 +57,26 @@ def test_simhash(sample, odd):
     assert kept.columns == odd.columns and kept.count() == len({*map(str, groups([fingerprint(t) for _, t in pairs(odd)], lambda a, b: (a ^ b).bit_count() <= 2))})
 
 
+def test_pipeline_drops_near_copies_by_shingles(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaonrish") for _ in range(rnd.randint(2, 8))) for _ in range(600)]
+    texts = []
+    for _ in range(12):
+        text = [rnd.choice(words) for _ in range(120)]
+        texts.append(" ".join(text))
+        for near in ((30,), (10, 80), (10, 30, 50, 70, 90)):  # the last are not similar enough
+            texts.append(" ".join("changed" if i in near else w for i, w in enumerate(text)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    first = groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert 12 < len(set(first)) < len(texts)
+    prints = [fingerprint(t) for t in texts]
+    assert len(set(groups(prints, lambda a, b: (a ^ b).bit_count() <= 2))) > len(set(first))  # two bits miss some
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    assert {r.doc_id for r in corpus_pipeline.unlike(spark, frame, "").collect()} == set(first)
+
+
 def cluster(seed=1):
     rng = np.random.default_rng(seed)
     found = {0, (1 << 64) - 1, 1 << 63}
