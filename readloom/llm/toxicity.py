@@ -62,9 +62,12 @@ def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) / (ends - starts).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): embeddings times the softmax's weights, as only their product is needed to score.
 
+    stands: how many labelled rows each clean and each toxic text stands for. Rows weigh by it, so a sample with a bound on each
+    class has the class ratio of all rows.
+
     With one class, or none, the scores are zero and the bias gives the class (no rows: not toxic).
     """
     if len(set(labels.tolist())) < 2:
@@ -76,6 +79,8 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     gram_starts = np.append(0, gram_ends[:-1])
     emb, weights, bias = rng.normal(0, 0.1, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.array([2.0, -2.0])  # toxic texts are rare, and one without words isn't
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, weights)]
+    weight = np.where(labels > 0, stands[1], stands[0])
+    weight = weight / weight.mean()
     step = 0
     parts = -(-len(docs) // BATCH)
     epochs = max(EPOCHS, -(-STEPS // parts))
@@ -105,7 +110,7 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
             pull = np.exp(heat * (margin - np.maximum.reduceat(margin, first)[doc]))
             pull /= np.add.reduceat(pull, first)[doc]
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * margin, first), -30, 30)))
-            d = np.stack([labels[batch] - p, p - labels[batch]], axis=1)[doc] * pull[:, None] / len(batch)
+            d = np.stack([labels[batch] - p, p - labels[batch]], axis=1)[doc] * (weight[batch][doc] * pull)[:, None] / len(batch)
             grad_w, d_pool = pooled.T @ d, d @ weights.T
             d_token = np.repeat(d_pool / length[:, None], length, axis=0)
             used = np.flatnonzero(d_token.any(axis=1))
@@ -155,9 +160,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """A model from the labelled texts of docs: at most sample rows of each class, those of the least hash of doc_id.
 
     labels: (doc_id, toxic). Null labels and doc_ids are left out; of repeated labels the greatest counts, of repeated texts
-    the least. The sample is the documented bound on what one task trains on; the model has a fixed size.
+    the least. The sample is the documented bound on what one task trains on, and its rows weigh by the count of their class
+    among all labels, so that scores mean the same at every size; the model has a fixed size.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    total = {k["toxic"]: k["n"] for k in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands = tuple(max(1.0, total.get(kind, 0) / sample) for kind in (0, 1))
     first = lambda kind: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = first(0).unionByName(first(1))
     texts = docs.select("doc_id", F.substring(utf8(), 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -165,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(rows(batches))
-        model, bias = train([t.decode("utf-8", "ignore") for *_, t in got], np.array([k for _, k, _ in got], np.float64))
+        model, bias = train([t.decode("utf-8", "ignore") for *_, t in got], np.array([k for _, k, _ in got], np.float64), stands)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()]), pa.array([bias])], ["model", "bias"])
 
     found = texts.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(fit, "model binary, bias double").first()

@@ -151,6 +151,13 @@ def test_toxicity_of_unseen_spellings(spark):
     assert {i for i in got if got[i].held_out} == {i for i in got if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_toxicity_keeps_the_class_ratio_of_all_labels(spark):
+    docs = spark.createDataFrame([(i, "maybe so") for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    whole, few = (toxicity.classify(docs.limit(1200), labels, n).agg({"score": "avg"}).first()[0] for n in (3000, 50))
+    assert abs(whole - 0.1) < 0.05 and abs(few - 0.1) < 0.05
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd, labels).collect()
