@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its hashed character n-grams, a window of a text is the mean of its words, and a softmax
+A word is the mean of the vectors of its hashed character n-grams, a window of a text, one at every word, is the mean of its words, and a softmax
 over two classes reads the window's mean; a text scores as its most toxic window, so its length does not dilute it. Spellings
 that training never saw share n-gram vectors with those it did.
 """
@@ -96,12 +96,17 @@ def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1
             word_ends = np.cumsum(counts)
             at = np.arange(word_ends[-1]) - np.repeat(word_ends - counts, counts) + np.repeat(gram_starts[words], counts)
             vectors = _means(emb[grams[at]], word_ends)
-            # windows of consecutive words
-            win = -(-sizes // WINDOW)
+            # windows of consecutive words, one at every word; a shorter text is one window
+            win = np.maximum(sizes - WINDOW + 1, 1)
             doc = np.repeat(np.arange(len(batch)), win)
             nth = np.arange(win.sum()) - np.repeat(np.cumsum(win) - win, win)
-            length = np.minimum(WINDOW, sizes[doc] - nth * WINDOW)
-            pooled = _means(vectors[token], np.cumsum(length))
+            length = np.minimum(WINDOW, sizes[doc])
+            at_token = (np.cumsum(sizes) - sizes)[doc] + nth
+            within = [(k, k < length) for k in range(WINDOW)]
+            pooled = np.zeros((len(doc), SIZE))
+            for k, has in within:
+                pooled[has] += vectors[token[at_token[has] + k]]
+            pooled /= length[:, None]
             logits = pooled @ weights + bias
             margin = logits[:, 1] - logits[:, 0]
             # at first all windows stand for their text alike, in the end the most toxic ones
@@ -112,7 +117,9 @@ def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * margin, first), -30, 30)))
             d = np.stack([labels[batch] - p, p - labels[batch]], axis=1)[doc] * (weight[batch][doc] * pull)[:, None] / len(batch)
             grad_w, d_pool = pooled.T @ d, d @ weights.T
-            d_token = np.repeat(d_pool / length[:, None], length, axis=0)
+            d_token = np.zeros((len(token), SIZE))
+            for k, has in within:  # windows start at different words
+                d_token[at_token[has] + k] += d_pool[has] / length[has, None]
             used = np.flatnonzero(d_token.any(axis=1))
             d_word = np.stack([np.bincount(token[used], d_token[used, k], len(words)) for k in range(SIZE)], axis=1) / counts[:, None]
             hit = np.repeat(d_word.any(axis=1), counts)
@@ -151,8 +158,8 @@ def score_text(words: list[str], scores: dict[str, float], bias: float) -> float
     top = 0.0
     if words:
         each = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-        starts = np.arange(0, len(each), WINDOW)
-        top = (np.add.reduceat(each, starts) / np.minimum(WINDOW, len(each) - starts)).max()
+        size = min(WINDOW, len(each))
+        top = (sum(each[k : len(each) - size + 1 + k] for k in range(size)) / size).max()
     return float(1 / (1 + np.exp(-np.clip(top + bias, -30, 30))))
 
 

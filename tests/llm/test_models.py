@@ -158,6 +158,13 @@ def test_toxicity_keeps_the_class_ratio_of_all_labels(spark):
     assert abs(whole - 0.1) < 0.05 and abs(few - 0.1) < 0.05
 
 
+def test_toxicity_scores_every_pair():
+    scores = {"bad": 3.0, "word": 3.0, "so": -3.0, "": 0.0}
+    for text in ("bad word so so", "so bad word so", "so so so bad word", "bad word"):
+        assert abs(toxicity.score_text(text.split(), scores, 0.0) - 1 / (1 + np.exp(-3))) < 1e-9
+    assert abs(toxicity.score_text(["so"], scores, 0.0) - 1 / (1 + np.exp(3))) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd, labels).collect()
