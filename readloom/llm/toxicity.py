@@ -18,8 +18,6 @@ from readloom.llm.common import blocks, rows, utf8
 
 #: Labelled rows of each class that training may take; a bound on what one task holds.
 SAMPLE = 3000
-#: Bytes of each sampled text that training reads; whole texts are scored.
-SAMPLE_BYTES = 1 << 16
 BUCKETS, SIZE, WINDOW, GRAMS = 1 << 17, 4, 2, (3, 4, 5, 6)
 EPOCHS, STEPS, BATCH, RATE, SEED = 15, 300, 256, 0.04, 7  # at least so many epochs and steps
 THRESHOLD = 0.3
@@ -62,10 +60,20 @@ def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) / (ends - starts).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+def bag(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, distinct windows as places of words, how often each window is there) of a whole text; a window at every word, -1 beyond a shorter text."""
+    place: dict[str, int] = {}
+    words = np.array([place.setdefault(w, len(place)) for w in text.lower().split() or [""]], np.int32)
+    size = min(WINDOW, len(words))
+    windows = np.full((len(words) - size + 1, WINDOW), -1, np.int32)
+    windows[:, :size] = np.lib.stride_tricks.sliding_window_view(words, size)
+    return list(place), *np.unique(windows, axis=0, return_counts=True)
+
+
+def train(texts: list[tuple[list[str], np.ndarray, np.ndarray]], labels: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): embeddings times the softmax's weights, as only their product is needed to score.
 
-    stands: how many labelled rows each clean and each toxic text stands for. Rows weigh by it, so a sample with a bound on each
+    texts: each as ``bag`` gives it. stands: how many labelled rows each clean and each toxic text stands for. Rows weigh by it, so a sample with a bound on each
     class has the class ratio of all rows.
 
     With one class, or none, the scores are zero and the bias gives the class (no rows: not toxic).
@@ -74,7 +82,10 @@ def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1
         return np.zeros(BUCKETS, np.float32), 4.0 if labels.any() else -4.0
     rng = np.random.default_rng(SEED)
     place: dict[str, int] = {}
-    docs = [np.array([place.setdefault(w, len(place)) for w in t.lower().split()] or [place.setdefault("", len(place))], np.int64) for t in texts]
+    docs = []
+    for own, windows, times in texts:
+        ids = np.array([place.setdefault(w, len(place)) for w in own], np.int32)
+        docs.append((np.where(windows < 0, np.int32(-1), ids[windows]), times))
     grams, gram_ends = _bags(list(place))
     gram_starts = np.append(0, gram_ends[:-1])
     emb, weights, bias = rng.normal(0, 0.1, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.array([2.0, -2.0])  # toxic texts are rare, and one without words isn't
@@ -89,37 +100,32 @@ def train(texts: list[str], labels: np.ndarray, stands: tuple[float, float] = (1
         for batch in np.array_split(rng.permutation(len(docs)), parts):
             step += 1
             # the n-grams of the batch's words
-            tokens = np.concatenate([docs[i] for i in batch])
-            sizes = np.array([len(docs[i]) for i in batch])
-            words, token = np.unique(tokens, return_inverse=True)
+            tokens = np.concatenate([docs[i][0] for i in batch])
+            has = tokens >= 0
+            length = has.sum(axis=1)
+            words, token = np.unique(tokens[has], return_inverse=True)
             counts = gram_ends[words] - gram_starts[words]
             word_ends = np.cumsum(counts)
             at = np.arange(word_ends[-1]) - np.repeat(word_ends - counts, counts) + np.repeat(gram_starts[words], counts)
             vectors = _means(emb[grams[at]], word_ends)
-            # windows of consecutive words, one at every word; a shorter text is one window
-            win = np.maximum(sizes - WINDOW + 1, 1)
+            # the distinct windows of each text
+            win = np.array([len(docs[i][0]) for i in batch])
+            times = np.concatenate([docs[i][1] for i in batch])
             doc = np.repeat(np.arange(len(batch)), win)
-            nth = np.arange(win.sum()) - np.repeat(np.cumsum(win) - win, win)
-            length = np.minimum(WINDOW, sizes[doc])
-            at_token = (np.cumsum(sizes) - sizes)[doc] + nth
-            within = [(k, k < length) for k in range(WINDOW)]
-            pooled = np.zeros((len(doc), SIZE))
-            for k, has in within:
-                pooled[has] += vectors[token[at_token[has] + k]]
+            owner = np.repeat(np.arange(len(doc)), length)
+            pooled = np.add.reduceat(vectors[token], np.cumsum(length) - length, axis=0)
             pooled /= length[:, None]
             logits = pooled @ weights + bias
             margin = logits[:, 1] - logits[:, 0]
             # at first all windows stand for their text alike, in the end the most toxic ones
             first = np.cumsum(win) - win
             heat = SHARPEST * step / steps
-            pull = np.exp(heat * (margin - np.maximum.reduceat(margin, first)[doc]))
+            pull = times * np.exp(heat * (margin - np.maximum.reduceat(margin, first)[doc]))
             pull /= np.add.reduceat(pull, first)[doc]
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * margin, first), -30, 30)))
             d = np.stack([labels[batch] - p, p - labels[batch]], axis=1)[doc] * (weight[batch][doc] * pull)[:, None] / len(batch)
             grad_w, d_pool = pooled.T @ d, d @ weights.T
-            d_token = np.zeros((len(token), SIZE))
-            for k, has in within:  # windows start at different words
-                d_token[at_token[has] + k] += d_pool[has] / length[has, None]
+            d_token = (d_pool / length[:, None])[owner]
             used = np.flatnonzero(d_token.any(axis=1))
             d_word = np.stack([np.bincount(token[used], d_token[used, k], len(words)) for k in range(SIZE)], axis=1) / counts[:, None]
             hit = np.repeat(d_word.any(axis=1), counts)
@@ -175,15 +181,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     stands = tuple(max(1.0, total.get(kind, 0) / sample) for kind in (0, 1))
     first = lambda kind: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = first(0).unionByName(first(1))
-    texts = docs.select("doc_id", F.substring(utf8(), 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, toxic, text in rows(batches, 16):
+            words, windows, times = bag(text.decode("utf-8", "replace"))
+            row = (doc_id, toxic, "\n".join(words), windows.astype("<i4").tobytes(), times.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "toxic", "words", "windows", "times"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(rows(batches))
-        model, bias = train([t.decode("utf-8", "ignore") for *_, t in got], np.array([k for _, k, _ in got], np.float64), stands)
+        bags = [(w.split("\n"), np.frombuffer(p, "<i4").reshape(-1, WINDOW), np.frombuffer(n, "<i4")) for *_, w, p, n in got]
+        model, bias = train(bags, np.array([k for _, k, *_ in got], np.float64), stands)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()]), pa.array([bias])], ["model", "bias"])
 
-    found = texts.select("doc_id", "toxic", "text").coalesce(1).mapInArrow(fit, "model binary, bias double").first()
+    whole = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, words string, windows binary, times binary")
+    found = whole.repartition(1).mapInArrow(fit, "model binary, bias double").first()
     return (np.frombuffer(found["model"], np.float32), found["bias"]) if found else (np.zeros(BUCKETS, np.float32), -4.0)
 
 

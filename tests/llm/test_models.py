@@ -165,6 +165,14 @@ def test_toxicity_scores_every_pair():
     assert abs(toxicity.score_text(["so"], scores, 0.0) - 1 / (1 + np.exp(3))) < 1e-9
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    plain = "so maybe then " * 6000  # more than 64 KB
+    rows = [(i, plain + ("blagghoker blagghoker" if i % 2 else "")) for i in range(24)] + [(100, "blagghoker blagghoker"), (101, "so maybe then")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")).collect()}
+    assert got[100] > 0.9 and got[101] < 0.3
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd, labels).collect()
