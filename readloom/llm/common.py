@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block may hold, unless a single document is longer.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for which an exchange has a bucket: it bounds what one group of a bucket holds.
+BUCKET_BYTES = 32 << 20
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is set here only where the session names none, as in local tests."""
+    """The folder that all executors share. It is set here only where the session names none and runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "readloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -38,14 +46,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on any file system of Spark's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_cuts(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Cuts made inside are kept in folder and go with it at the end; results that still need them must be written by then."""
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        remove(spark, folder)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, cut, and marked for a broadcast if it has at most so many rows; a larger one is left to a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def utf8(text: str = "text") -> Column:
     """The UTF-8 bytes of a text; none for a null."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets of an exchange: a few for each shuffle partition, so that one bucket shrinks as a cluster grows."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of an exchange over docs, so that one stands for at most BUCKET_BYTES of text, and a few for each shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
@@ -76,6 +108,26 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield base | n, ids, texts
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(some rows, their texts as bytes) of Arrow batches with all their columns; the texts, in a column of strings, stay within limit bytes, unless a single one is longer."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(sizes.searchsorted(before + limit, "right")))
+            yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+            start = end
+
+
+def rows_digest(ids: list, sizes: list[int]) -> int:
+    """A number by which two passes over the same input can tell that a block holds the same rows."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(repr((ids, sizes)).encode()) >> 1
+
+
 BLOCK_ROWS = "block long, nth int, ids array<long>, sizes array<long>, text binary"
 
 

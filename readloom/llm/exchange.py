@@ -16,10 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REQUESTS = "bucket int, block long, payload binary"
-ANSWERS = "block long, bucket int, payload binary, sums array<long>"
-_R = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
-_A = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("sums", pa.list_(pa.int64()))])
+from readloom.llm.common import rows_digest
+
+REQUESTS = "bucket int, block long, digest long, payload binary"
+ANSWERS = "block long, digest long, bucket int, payload binary, sums array<long>"
+_R = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())])
+_A = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("sums", pa.list_(pa.int64()))])
 #: The block of the row that carries the sums of a bucket.
 SUMS = -1
 
@@ -32,9 +34,10 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
-def request_batch(block: int, payloads: dict[int, bytes]) -> pa.RecordBatch:
-    """The requests of one block: a payload for each bucket."""
-    return pa.RecordBatch.from_arrays([pa.array(list(payloads), pa.int32()), pa.array([block] * len(payloads), pa.int64()), pa.array(list(payloads.values()), pa.binary())], schema=_R)
+def request_batch(block: int, mark: int, payloads: dict[int, bytes]) -> pa.RecordBatch:
+    """The requests of one block, whose ``digest`` is mark: a payload for each bucket."""
+    n = len(payloads)
+    return pa.RecordBatch.from_arrays([pa.array(list(payloads), pa.int32()), pa.array([block] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(list(payloads.values()), pa.binary())], schema=_R)
 
 
 def answer(requests: DataFrame, work: Callable[[list[bytes]], tuple[list[bytes], list[int]]]) -> DataFrame:
@@ -44,7 +47,7 @@ def answer(requests: DataFrame, work: Callable[[list[bytes]], tuple[list[bytes],
         table = table.sort_by("block")
         got, sums = work(table["payload"].to_pylist())
         n = table["bucket"][0].as_py()
-        return pa.Table.from_arrays([pa.array([*table["block"].to_pylist(), SUMS], pa.int64()), pa.array([n] * (len(got) + 1), pa.int32()), pa.array([*got, None], pa.binary()), pa.array([None] * len(got) + [sums], pa.list_(pa.int64()))], schema=_A)
+        return pa.Table.from_arrays([pa.array([*table["block"].to_pylist(), SUMS], pa.int64()), pa.array([*table["digest"].to_pylist(), None], pa.int64()), pa.array([n] * (len(got) + 1), pa.int32()), pa.array([*got, None], pa.binary()), pa.array([None] * len(got) + [sums], pa.list_(pa.int64()))], schema=_A)
 
     return requests.groupBy("bucket").applyInArrow(bucket, ANSWERS)
 
@@ -56,9 +59,17 @@ def totals(answers: DataFrame, n: int) -> list[int]:
 
 
 def meet(answers: DataFrame, blocks: DataFrame, work: Callable[[list[bytes], pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Join answers with the rows of their blocks. work: gets the answers of one block by rising bucket, and the block's rows."""
+    """Join answers with the rows of their blocks. work: gets the answers of one block by rising bucket, and the block's rows.
+
+    A task fails if a block does not hold the rows that it held when it asked: the input must give the same rows when read
+    again. Rows of blocks have ids and sizes, in the order of nth.
+    """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.sort_by("nth").select(["ids", "sizes"]).to_pylist() if right.num_rows else []
+        mark = rows_digest([i for r in rows for i in r["ids"]], [n for r in rows for n in r["sizes"]])
+        if any(x != mark for x in left["digest"].to_pylist()):
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
         return work(left.sort_by("bucket")["payload"].to_pylist(), right)
 
     return answers.where(F.col("block") != SUMS).drop("sums").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(block, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, utf8
+from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, rows_digest, utf8
 from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, totals, unframed, unpack_sorted, unsqueeze
 
 ORDER, MAX_ORDER = 2, 8
@@ -149,7 +149,7 @@ def score(docs: DataFrame, order: int = ORDER, parts: int = 7, part: int = 2) ->
     """
     if not 1 <= order <= MAX_ORDER:
         raise ValueError(f"order must be from 1 to {MAX_ORDER}")
-    n_buckets = bucket_count(docs.sparkSession)
+    n_buckets = bucket_count(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in blocks(batches, BLOCK):
@@ -157,7 +157,7 @@ def score(docs: DataFrame, order: int = ORDER, parts: int = 7, part: int = 2) ->
             counts = grams.counts(np.array([not held_out(i, parts, part) for i in ids])).astype("<u4")
             found, starts = np.unique(to_bucket(grams.keys, n_buckets), return_index=True)
             ends = np.append(starts[1:], len(grams.keys))
-            yield request_batch(block, {int(b): framed(pack_sorted(grams.keys[s:e]), squeeze(counts[s:e].tobytes())) for b, s, e in zip(found, starts, ends)})
+            yield request_batch(block, rows_digest(ids, list(map(len, texts))), {int(b): framed(pack_sorted(grams.keys[s:e]), squeeze(counts[s:e].tobytes())) for b, s, e in zip(found, starts, ends)})
 
     def add(payloads: list[bytes]) -> tuple[list[bytes], list[int]]:
         asked = [unframed(p) for p in payloads]

@@ -1,8 +1,9 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Two 64-bit fingerprints that differ in at most two bits agree in one 32-bit half but for at most one bit. So each distinct
-fingerprint is indexed under every half with one bit struck out, equal keys are joined, and pairs are verified in full. Every
-pair is taken under one key only, and a bucket gives no more links than it has fingerprints.
+Two 64-bit fingerprints that differ in at most two bits agree in one 32-bit half but for at most one bit, and then in one third
+of the other half. So each distinct fingerprint is indexed under every half with one bit struck out, together with every third
+of the other half, equal keys are joined, and pairs are verified in full. Every pair is taken under one key only, and a bucket
+gives no more links than it has fingerprints.
 
 Near copies by word shingles (``similar_classes``) differ in far more bits. They are found by three fingerprints of longer shingles
 in 16-bit segments under one-wildcard variants, and every pair found is verified by the Jaccard similarity of its shingle sets.
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from readloom.llm.common import blocks, cut, utf8
 from readloom.llm.components import components
@@ -23,8 +25,8 @@ from readloom.llm.components import components
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Near copies: words of a shingle, least Jaccard similarity as a fraction of whole numbers, fingerprints of 64 bits, and of all these bits how many may differ.
 SIMILAR_SHINGLE, SIMILARITY, PRINTS, SIMILAR_DISTANCE = 5, (4, 5), 3, 52
-#: Fingerprints of one bucket that are compared with each other; those of larger buckets are linked by variants of two struck bits.
-COMPARED = 8192
+#: The other half of a fingerprint in thirds, as (first bit, mask).
+THIRDS = ((0, 0x7FF), (11, 0x7FF), (22, 0x3FF))
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     as its one shingle. Texts without words, and nulls, have fingerprint zero.
     """
     kind = docs.schema[key].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema[key].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts in blocks(batches, 2 << 20):
@@ -82,11 +84,39 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 
 def variants(distinct: DataFrame) -> DataFrame:
-    """(key, fp): the 64 one-wildcard variants of the halves of each fingerprint."""
-    v = F.col("v")
-    half = F.when(v < 32, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-    struck = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, v % 32)")))
-    return distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select((F.expr("shiftleft(cast(v as bigint), 32)") + struck).alias("key"), "fp")
+    """(key, fp): the one-wildcard variants of the halves of each fingerprint, each with the three thirds of the other half."""
+    x, v = F.col("x"), F.expr("x div 3")
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    struck = F.when(v < 32, low).otherwise(high).bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, cast((x div 3) % 32 as int))")))
+    other = F.when(v < 32, high).otherwise(low)
+    third = F.get(F.array(*(F.shiftrightunsigned(other, at).bitwiseAND(F.lit(mask)) for at, mask in THIRDS)), F.expr("x % 3"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(n, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(191))).alias("x"))
+    return spread.select((x.cast("long") * (1 << 43) + third * (1 << 32) + struck).alias("key"), "fp")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that rows of one key, the first column, stay together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        if held and new[0][-1] == held[0][0][0]:
+            held.append(new)
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, new)]
+        last = int(np.searchsorted(whole[0], whole[0][-1]))
+        if last:
+            yield [c[:last] for c in whole]
+        held = [[c[last:] for c in whole]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _bit(x: np.ndarray) -> np.ndarray:
+    """The place of the single set bit of each number; 0 for zero."""
+    return np.where(x > 0, np.bitwise_count(x - np.minimum(x, x.dtype.type(1))), 0)
 
 
 def _links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
@@ -101,13 +131,13 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
     out = []
     at, lag = np.flatnonzero(keys[1:] == keys[:-1]), 1
     while len(at):
-        diff = fps[at] ^ fps[at + lag]
+        diff = (fps[at] ^ fps[at + lag]).view(np.uint64)
         near = np.bitwise_count(diff) <= DISTANCE
-        x, v = diff[near], keys[at[near]] >> np.uint64(32)
-        low = x & np.uint64(0xFFFFFFFF)
-        one = np.bitwise_count(low) <= 1
-        bit = np.where(low > 0, np.bitwise_count(low - np.minimum(low, np.uint64(1))), 0)  # of a single set bit: its place
-        own = np.where(one, v == bit, v == 32)
+        low, high = diff[near] & np.uint64(0xFFFFFFFF), diff[near] >> np.uint64(32)
+        first = np.bitwise_count(low) <= 1
+        other = np.where(first, high, low)
+        third = np.stack([other >> np.uint64(a) & np.uint64(mask) for a, mask in THIRDS]).argmin(axis=0)  # the first that agrees
+        own = 3 * np.where(first, _bit(low), 32 + _bit(np.where(first, np.uint64(0), high))) + third == keys[at[near]] >> 43
         for i in at[near][own].tolist():
             p, q = root(int(fps[i])), root(int(fps[i + lag]))
             if p != q:
@@ -125,48 +155,11 @@ def links(distinct: DataFrame) -> DataFrame:
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lambda pairs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        keys = fps = np.zeros(0, np.uint64)
-        large = None
-        for batch in batches:
-            k, f = (c.to_numpy().view(np.uint64) for c in batch.columns)
-            if large is not None:  # the rest of a bucket that is too large
-                rest = int(np.searchsorted(k, large, "right"))
-                yield made([f[:rest].view(np.int64), [None] * rest])
-                k, f = k[rest:], f[rest:]
-                if not len(k):
-                    continue
-                large = None
-            keys, fps = np.concatenate([keys, k]), np.concatenate([fps, f])
-            last = int(np.searchsorted(keys, keys[-1]))
-            ends = np.append(np.flatnonzero(keys[1:last] != keys[: last - 1]) + 1, last) if last else np.zeros(0, np.int64)
-            for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
-                if b - a > COMPARED:
-                    yield made([fps[a:b].view(np.int64), [None] * (b - a)])
-                    keys[a:b] = np.arange(b - a, dtype=np.uint64) + np.uint64(1 << 63)  # no longer a run
-            pairs = _links(keys[:last], fps[:last])
-            yield made([[signed(p) for p, _ in pairs], [signed(q) for _, q in pairs]])
-            keys, fps = keys[last:], fps[last:]
-            if len(keys) > COMPARED:
-                yield made([fps.view(np.int64), [None] * len(fps)])
-                large, keys, fps = keys[0], keys[:0], fps[:0]
-        pairs = _links(keys, fps)
-        yield made([[signed(p) for p, _ in pairs], [signed(q) for _, q in pairs]])
-
-    found = cut(sides.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
-    near = found.where("b is not null")
-    large = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    return near if large.isEmpty() else near.union(wide_links(large))
-
-
-def wide_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): the same, by variants of the whole fingerprint with two bits struck out: at most four share one, and all those are linked."""
-    struck = ((1 << i | 1 << j) for i in range(64) for j in range(i + 1, 64))
-    masks = F.array(*(F.lit(~x if x < 1 << 63 else ~(x - (1 << 64))) for x in struck))
-    keyed = distinct.select("fp", F.posexplode(masks).alias("pair", "mask")).select("pair", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp")
-    groups = keyed.groupBy("pair", "rest").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b").select("a", "b").distinct()
+        for keys, fps in whole_runs(batches):
+            found = _links(keys, fps)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return cut(sides.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,49 +214,44 @@ def _own(differing: list[np.ndarray]) -> np.ndarray:
     """The first variant of ``similar_pairs`` that fingerprints share, by the bits in which they differ."""
     parts = np.stack([d >> np.uint64(16 * s) & np.uint64(0xFFFF) for d in differing for s in range(4)], axis=1)
     segment = (np.bitwise_count(parts) <= 1).argmax(axis=1)
-    part = parts[np.arange(len(parts)), segment]
-    return 16 * segment + np.where(part > 0, np.bitwise_count(part - np.minimum(part, np.uint64(1))), 0)
+    return 16 * segment + _bit(parts[np.arange(len(parts)), segment])
 
 
 def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFrame:
-    """(a, b): all pairs of the nodes (node, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit, each once."""
-    names = [c for c in nodes.columns if c != "node"]
+    """(a, b): pairs of the nodes (node, root, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit.
+
+    Pairs of one root are left out. Where no roots are known yet, all null, each node is paired with only the next one of every
+    bucket, so that a bucket gives no more pairs than it has nodes.
+    """
+    names = [c for c in nodes.columns if c not in ("node", "root")]
     v = F.col("v")
     part = F.expr(f"shiftright(array({', '.join(names)})[cast(v / 64 as int)], 16 * (cast(v / 16 as int) % 4)) & 65535L & ~shiftleft(1L, v % 16)")
-    keyed = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(64 * len(names) - 1))).alias("v")).select((v * 65536 + part.cast("int")).alias("key"), "node", *names)
+    keyed = nodes.select("node", F.coalesce("root", F.lit(-1).cast("long")).alias("root"), *names, F.explode(F.sequence(F.lit(0), F.lit(64 * len(names) - 1))).alias("v"))
+    keyed = keyed.select((v * 65536 + part.cast("int")).alias("key"), "node", "root", *names)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def close(keys: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def close(keys: np.ndarray, node: np.ndarray, root: np.ndarray, *signed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prints = [p.view(np.uint64) for p in signed]
         at, lag = np.flatnonzero(keys[1:] == keys[:-1]), 1
         while len(at):
             differing = [p[at] ^ p[at + lag] for p in prints]
             near = sum(np.bitwise_count(d).astype(np.int32) for d in differing) <= distance
+            near &= (root[at] != root[at + lag]) | (root[at] < 0)
             if near.any():
                 i = at[near]
-                i = i[_own([d[near] for d in differing]) == keys[i] >> 16]
+                known = root[i] >= 0
+                i = i[~known | (_own([d[near] for d in differing]) == keys[i] >> 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i + lag])], ["a", "b"])
             lag += 1
+            at = at[~near | (root[at] >= 0)]
             at = at[at + lag < len(keys)]
             at = at[keys[at] == keys[at + lag]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the last bucket, which may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, node, *prints = (c.to_numpy() for c in batch.columns)
-            new = [k, node, *(p.view(np.uint64) for p in prints)]
-            if held and k[-1] == held[0][0][0]:
-                held.append(new)
-                continue
-            whole = [np.concatenate(c) for c in zip(*held, new)]
-            last = int(np.searchsorted(whole[0], whole[0][-1]))
-            yield from close(*(c[:last] for c in whole))
-            held = [[c[last:] for c in whole]]
-        if held:
-            yield from close(*(np.concatenate(c) for c in zip(*held)))
-
-    return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+        for columns in whole_runs(batches):
+            yield from close(*columns)
+
+    return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct())
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY) -> DataFrame:
@@ -284,12 +272,21 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: in
 
 
 def similar_classes(docs: DataFrame, key: str, text: str = "text", shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY, prints: int = PRINTS, distance: int = SIMILAR_DISTANCE) -> DataFrame:
-    """(key, first): first is the least key among the rows that equal sets of shingles and verified pairs reach. Keys are distinct longs."""
+    """(key, first): first is the least key among the rows that equal sets of shingles and verified pairs reach. Keys are distinct longs.
+
+    Pairs are verified in two rounds: first each node with its neighbours in the buckets, which joins most of a large group of
+    near copies; then all other candidates that the links found so far have not joined. The classes are those of all candidates.
+    """
     marked = cut(_marks(docs, key, text, shingle, prints))
     names = [f"f{i}" for i in range(prints)]
     nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(f).alias(f) for f in names)))
-    roots = components(verified(similar_pairs(nodes.drop("digest"), distance), docs, key, text, shingle, share)).withColumnRenamed("node", "of")
-    named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("root", "node").alias("first"))
+    rooted = lambda edges: nodes.join(components(edges).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of")
+    check = lambda pairs: cut(verified(pairs, docs, key, text, shingle, share))
+    unknown = nodes.select("node", F.lit(None).cast("long").alias("root"), *names)
+    links = check(similar_pairs(unknown, distance))
+    known = rooted(links).select("node", F.coalesce("root", "node").alias("root"), *names)
+    links = links.union(check(similar_pairs(known, distance)))
+    named = rooted(links).select("digest", F.coalesce("root", "node").alias("first"))
     return marked.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "first")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import blocks, bucket_count, utf8
+from readloom.llm.common import blocks, bucket_count, rows_digest, utf8
 from readloom.llm.exchange import REQUESTS, answer, by_bucket, meet, request_batch, squeeze, tabled, unsqueeze
 
 #: Fixed value: the split of byte-level BPE into pre-tokens.
@@ -71,18 +71,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     n_bytes: of the text's UTF-8. over_limit: more than limit tokens. A null text counts as empty: 0 bytes and tokens. Repeated
     rows and null doc_ids are counted each for itself; other columns are dropped. docs must give the same rows when read again.
     """
-    n_buckets = bucket_count(docs.sparkSession)
+    n_buckets = bucket_count(docs)
     slot = lambda tokens: np.fromiter((zlib.crc32(t.encode()) % n_buckets for t in tokens), np.int32, len(tokens))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = PreTokens(tokenizer)
-        for block, _, texts in blocks(batches):
+        for block, ids, texts in blocks(batches):
             seen: dict[str, None] = {}
             for text in texts:
                 seen.update(dict.fromkeys(cut(text.decode("utf-8", "replace"))))
             tokens = list(seen)
             order, found, starts = by_bucket(slot(tokens))
-            yield request_batch(block, {int(b): _pack([tokens[i] for i in order[s:e]]) for b, s, e in zip(found, starts, starts[1:])})
+            yield request_batch(block, rows_digest(ids, list(map(len, texts))), {int(b): _pack([tokens[i] for i in order[s:e]]) for b, s, e in zip(found, starts, starts[1:])})
 
     def count(payloads: list[bytes]) -> tuple[list[bytes], list[int]]:
         cut, asked = PreTokens(tokenizer), [_unpack(p) for p in payloads]
@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
                 which += [place.setdefault(t, len(place)) for t in bag]
                 often += bag.values()
             parts = [np.array(x, "<u4").tobytes() for x in (kinds, slot(list(place)), which, often)]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([[squeeze(p) for p in parts]], pa.list_(pa.binary()))], ["block", "ids", "sizes", "parts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([[squeeze(p) for p in parts]], pa.list_(pa.binary()))], ["block", "nth", "ids", "sizes", "parts"])
 
     def total(answers: list[bytes], block: pa.Table) -> pa.Table:
         kinds, slots, which, often = (np.frombuffer(unsqueeze(p), "<u4").astype(np.int64) for p in block["parts"][0].as_py())
@@ -115,5 +115,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
     scan = docs.select(F.col("doc_id").cast("long"), utf8())
     answers = answer(scan.mapInArrow(ask, REQUESTS), count)
-    bags = scan.mapInArrow(frequencies, "block long, ids array<long>, sizes array<long>, parts array<binary>")
+    bags = scan.mapInArrow(frequencies, "block long, nth int, ids array<long>, sizes array<long>, parts array<binary>")
     return meet(answers, bags, total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -89,15 +89,24 @@ def cluster(seed=1):
     return sorted(found)
 
 
-@pytest.mark.parametrize("way", ["all", "wide", "small buckets"])
-def test_links_keep_classes(spark, way, monkeypatch):
-    prints = cluster()
-    if way == "small buckets":
-        monkeypatch.setattr(simhash, "COMPARED", 3)
+def near_halves(seed=2):
+    """Many fingerprints that share a half but for a bit, as those of a large group of near copies do."""
+    rng = np.random.default_rng(seed)
+    base = int(rng.integers(0, 1 << 63))
+    found = {base}
+    for _ in range(700):
+        x = base ^ (1 << int(rng.integers(32)))
+        for _ in range(rng.integers(0, 6)):
+            x ^= 1 << int(rng.integers(32, 64))
+        found.add(x)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("prints", [cluster(), near_halves()], ids=["clusters", "near halves"])
+def test_links_keep_classes(spark, prints):
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = (simhash.wide_links if way == "wide" else simhash.links)(frame)
-    root = {r.node: r.root for r in components(edges).collect()}
+    root = {r.node: r.root for r in components(simhash.links(frame)).collect()}
     got = [root.get(x, x) for x in signed]
     want = groups(prints, lambda a, b: (a ^ b).bit_count() <= 2)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
