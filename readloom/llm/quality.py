@@ -1,7 +1,8 @@
 """Quality rules with verdicts on hosts, in DataFrame functions only.
 
 Each document is measured once. Failures of every rule are added up by host, a host's rate is shrunk towards the rate of all
-hosts by a beta prior fitted to them, and hosts whose shrunk rate is over the limit are rejected with all their documents.
+hosts by a beta prior fitted to them, and hosts whose shrunk rate of a rule is surely over its limit are rejected with all their
+documents. The limit of a rule follows from the corpus: a multiple of the rate over all documents, and never under a floor.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut
+from readloom.llm.common import cut, sized
 
 #: The characters that part words, and those counted as symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -17,8 +18,9 @@ BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS = 50
-#: Shrunk share of failing documents over which a host is rejected.
-MAX_RATE = 0.5
+#: A host is rejected where its shrunk rate of failures, less its standard deviation, is over so many times the rate of all
+#: documents, and over the floor.
+EXCESS, FLOOR = 1.75, 0.05
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -36,12 +38,12 @@ def rules(min_words: int = MIN_WORDS) -> dict[str, Column]:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns MEASURES, all long, for a text column; a null text has no words.
+    """docs with the columns MEASURES, all long, for a text column; a null text has no words. Columns of these names are replaced.
 
     Words that stand in three-word windows found twice or more are counted in n_repeat_words: windows are first compared by
     64-bit hash, and only where hashes repeat are the windows themselves sorted, so the count is exact.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c not in MEASURES]
     clean = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE))
     three = lambda join: F.slice(F.transform("__words", lambda w, i: join(w, F.get("__words", i + 1), F.get("__words", i + 2))), 1, F.greatest(F.size("__words") - 2, F.lit(0)))
     near = lambda j: F.coalesce(F.get("__sorted", j)["w"], F.lit(""))
@@ -66,25 +68,27 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def host_rates(measured: DataFrame, host: str = "host", min_words: int = MIN_WORDS) -> DataFrame:
-    """(host, n, f_<rule>, rate_<rule>): a host's documents, its failures of each rule, and their shrunk rates.
+def host_rates(measured: DataFrame, host: str = "host", min_words: int = MIN_WORDS, excess: float = EXCESS, floor: float = FLOOR) -> DataFrame:
+    """(host, n, f_<rule>, rate_<rule>, host_failed): a host's documents, its failures of each rule, their shrunk rates, and whether one of these, less the standard deviation of the host's own beta distribution, is over its limit.
 
     The prior of a rule is a beta distribution whose mean is the rate over all documents and whose strength comes from the
     spread of hosts about it, by the method of moments. Where hosts spread no more than chance does, the strength is at its
-    upper limit, so each is near the mean. A null host is a host of its own.
+    upper limit, so each is near the mean and none fails. A null host is a host of its own.
     """
     names = list(rules(min_words))
-    hosts = measured.groupBy(host).agg(F.count("*").alias("n"), *(F.sum(v.cast("long")).alias(f"f_{k}") for k, v in rules(min_words).items()))
+    hosts = cut(measured.groupBy(host).agg(F.count("*").alias("n"), *(F.sum(v.cast("long")).alias(f"f_{k}") for k, v in rules(min_words).items())))
     n = F.col("n")
     sums = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(n.cast("double") * n).alias("nn"), *(F.sum(f"f_{k}").alias(f"f_{k}") for k in names), *(F.sum(F.col(f"f_{k}").cast("double") * F.col(f"f_{k}") / n).alias(f"ff_{k}") for k in names)).first()
-    rates = []
+    rates, over = [], []
     for k in names:
         alpha, total = beta_prior(sums["hosts"], sums["n"] or 0, sums["nn"] or 0.0, sums[f"f_{k}"] or 0, sums[f"ff_{k}"] or 0.0)
         rates.append(((F.col(f"f_{k}") + alpha) / (n + total)).alias(f"rate_{k}"))
-    return hosts.select(host, "n", *(f"f_{k}" for k in names), *rates)
+        rate = F.col(f"rate_{k}")
+        over.append(rate - F.sqrt(rate * (1 - rate) / (n + total + 1)) > max(floor, excess * (sums[f"f_{k}"] or 0) / (sums["n"] or 1)))
+    return hosts.select(host, "n", *(f"f_{k}" for k in names), *rates).withColumn("host_failed", F.array_contains(F.array(*over), True))
 
 
-def beta_prior(hosts: int, n: float, nn: float, f: float, ff: float, low: float = 1.0, high: float = 1e6) -> tuple[float, float]:
+def beta_prior(hosts: int, n: float, nn: float, f: float, ff: float, low: float = 10.0, high: float = 1e6) -> tuple[float, float]:
     """(alpha, alpha + beta) from the number of hosts and the sums of n, n*n, failures and failures*failures/n over them."""
     if not n:
         return 0.0, low
@@ -95,31 +99,42 @@ def beta_prior(hosts: int, n: float, nn: float, f: float, ff: float, low: float
     return mean * strength, strength
 
 
-def verdicts(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_words: int = MIN_WORDS, max_rate: float = MAX_RATE) -> DataFrame:
+def _failed_hosts(measured: DataFrame, min_words: int, excess: float, floor: float) -> DataFrame:
+    """(bad_host, bad) of the hosts that are rejected; broadcast only where they are few."""
+    rates = host_rates(measured, "host", min_words, excess, floor)
+    return sized(rates.where("host_failed").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad")))
+
+
+def _base_failed(min_words: int) -> Column:
+    found = rules(min_words)
+    return found["short"] | found["repetitive"]
+
+
+def verdicts(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_words: int = MIN_WORDS, excess: float = EXCESS, floor: float = FLOOR) -> DataFrame:
     """One row per row of docs: the key, MEASURES, base_failed, host_failed, kept.
 
-    base_failed: too short or too repetitive. host_failed: the shrunk rate of any rule at the document's host is over
-    max_rate. kept: neither. Null texts are empty and fail, documents without a host share one, repeated rows are judged each
-    for itself, and other columns are dropped. Hosts are joined back without the texts; a hot host is one row of counts, and
-    Spark splits its documents in the join.
+    base_failed: too short or too repetitive. host_failed: see ``host_rates``. kept: neither. Null texts are empty and fail,
+    documents without a host share one, null and repeated keys are judged each for itself, and other columns are dropped. A hot
+    host is one row of counts.
     """
     measured = cut(measure(docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))).drop("text"))
-    names = list(rules(min_words))
-    bad = host_rates(measured, "host", min_words).where(F.greatest(*(F.col(f"rate_{k}") for k in names)) > max_rate).select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    found = rules(min_words)
-    base = found["short"] | found["repetitive"]
-    judged = measured.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    failed = F.coalesce("bad", F.lit(False))
+    judged = measured.join(_failed_hosts(measured, min_words, excess, floor), F.col("host").eqNullSafe(F.col("bad_host")), "left")
+    base, failed = _base_failed(min_words), F.coalesce("bad", F.lit(False))
     return judged.select(F.col("key").alias(key), *MEASURES, base.alias("base_failed"), failed.alias("host_failed"), (~base & ~failed).alias("kept"))
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of docs that ``verdicts`` keeps, with all their columns. Rows that share a key and a text stay or go together."""
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    marked = docs.withColumn("__mark", mark)
-    judged = verdicts(docs.select(F.struct(F.col(key), mark.alias("mark")).alias("__key"), host, text), "__key", host, text)
-    gone = judged.where(~F.col("kept")).select(F.col(f"__key.{key}").alias("__gone"), F.col("__key.mark").alias("__gone_mark")).distinct()
-    return marked.join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__mark") == F.col("__gone_mark")), "left_anti").drop("__mark")
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", min_words: int = MIN_WORDS, excess: float = EXCESS, floor: float = FLOOR) -> DataFrame:
+    """The rows of docs that ``verdicts`` keeps, with all their columns, each row judged for itself.
+
+    Rows that pass the rules are written once with what was measured, and wait there for the verdicts on hosts; texts are not
+    shuffled unless failed hosts are too many to be broadcast.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), F.col(host).alias("host"), F.col(text).alias("text"))
+    base = _base_failed(min_words)
+    measured = cut(measure(packed).drop("text").withColumn("doc", F.when(~base, F.col("doc"))))
+    bad = _failed_hosts(measured, min_words, excess, floor)
+    good = measured.where(~base).join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    return good.select("doc.*")
 
 
 ORACLE = r"""
@@ -140,14 +155,19 @@ f AS (SELECT source, k, count(*)::DOUBLE AS n, sum(CASE WHEN v THEN 1 ELSE 0 END
       GROUP BY source, k),
 s AS (SELECT k, count(*) AS hosts, sum(n) AS n, sum(n * n) AS nn, sum(f) / sum(n) AS mean, sum(f * f / n) AS ff FROM f GROUP BY k),
 t AS (SELECT k, mean, mean * (1 - mean) AS noise, ff - n * mean * mean - (hosts - 1) * mean * (1 - mean) AS spread, n - nn / n AS room FROM s),
-p AS (SELECT k, mean, CASE WHEN spread <= 0 OR room <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, noise * room / spread - 1)) END AS strength FROM t),
-h AS (SELECT source, max((f.f + mean * strength) / (f.n + strength)) > 0.5 AS bad FROM f JOIN p ON f.k = p.k GROUP BY source)
+p AS (SELECT k, mean, CASE WHEN spread <= 0 OR room <= 0 THEN 1e6 ELSE least(1e6, greatest(10.0, noise * room / spread - 1)) END AS strength FROM t),
+e AS (SELECT source, (f.f + mean * strength) / (f.n + strength) AS rate, f.n + strength AS weight, mean FROM f JOIN p ON f.k = p.k),
+h AS (SELECT source, bool_or(rate - sqrt(rate * (1 - rate) / (weight + 1)) > greatest(0.05, 1.75 * mean)) AS bad FROM e GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, bad AS host_failed,
        NOT (short OR repetitive) AND NOT bad AS kept
 FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source
 """
 
 
-def host_quality(docs: DataFrame) -> DataFrame:
+#: The same with the language of a document in place of its host.
+LANGUAGE_ORACLE = ORACLE.replace("SELECT doc_id, source, coalesce(text, '')", "SELECT doc_id, lang AS source, coalesce(text, '')")
+
+
+def host_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """The query's columns of ``verdicts``."""
-    return verdicts(docs).drop("n_lines")
+    return verdicts(docs, host=host).drop("n_lines")
