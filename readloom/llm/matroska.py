@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import rows, utf8
+from readloom.llm.common import blocks, rows, utf8
 
 # Fixed values of the container format: element ids.
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -64,7 +64,7 @@ def write_pcm(payload: bytes) -> bytes:
     """A Matroska file that holds payload as one track of unsigned 8-bit samples. Equal payloads give equal files."""
     head = _element(EBML, _element(DOC_TYPE, b"matroska"))
     audio = _element(SAMPLING_FREQUENCY, bytes.fromhex("45fa0000")) + _number(CHANNELS, 1) + _number(BIT_DEPTH, 8)
-    track = _number(TRACK_NUMBER, 1) + _number(TRACK_UID, 1) + _number(TRACK_TYPE, 2) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, audio)
+    track = _number(TRACK_NUMBER, 1) + _number(TRACK_UID, 1) + _number(TRACK_TYPE, 2) + _number(DEFAULT_DURATION, FRAME * 1_000_000_000 // SAMPLE_RATE) + _element(CODEC_ID, b"A_PCM/INT/LIT") + _element(AUDIO, audio)
     body = [_element(INFO, _number(TIMESTAMP_SCALE, 1_000_000)), _element(TRACKS, _element(TRACK_ENTRY, track))]
     at, cues, span = sum(map(len, body)), [], FRAME * LACED
     for start in range(0, len(payload), span * CLUSTER_BLOCKS):
@@ -160,8 +160,10 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
     """(packets, cues, error) of a file, as PACKETS and CUE_ROWS describe.
 
-    A malformed file gives what was read before the fault, and the fault; an empty one gives neither packets nor an error.
+    The frames of a laced block follow each other by the default duration of their track; without one all have the block's
+    time. A malformed file gives what was read before the fault, and the fault; an empty one gives neither packets nor an error.
     """
+    durations: dict[int, int] = {}
     packets: list[tuple] = []
     cues: list[tuple] = []
     number = lambda a, b: int.from_bytes(data[a:b], "big")
@@ -173,6 +175,11 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
             for key, a, b in _children(data, at, end):
                 if key == INFO:
                     scale = next((number(x, y) for k, x, y in _children(data, a, b) if k == TIMESTAMP_SCALE), scale)
+                elif key == TRACKS:
+                    for k, x, y in _children(data, a, b):
+                        if k == TRACK_ENTRY:
+                            parts = {k: number(p, q) for k, p, q in _children(data, x, y) if k in (TRACK_NUMBER, DEFAULT_DURATION)}
+                            durations[parts.get(TRACK_NUMBER, 0)] = parts.get(DEFAULT_DURATION, 0)
                 elif key == CLUSTER:
                     cluster, base = cluster + 1, 0
                     for kind, x, y in _children(data, a, b):
@@ -192,8 +199,8 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
                             raise ValueError(f"block cut off at byte {p}")
                         time, flags = int.from_bytes(data[p : p + 2], "big", signed=True), data[p + 2]
                         lacing = flags >> 1 & 3
-                        for position, size in _frames(data, p + 3, y, lacing):
-                            packets.append((cluster, track, (base + time) * scale, bool(flags & 0x80) if simple else keyed, lacing, position, size))
+                        for nth, (position, size) in enumerate(_frames(data, p + 3, y, lacing)):
+                            packets.append((cluster, track, (base + time) * scale + nth * durations.get(track, 0), bool(flags & 0x80) if simple else keyed, lacing, position, size))
                 elif key == CUES:
                     for k, x, y in _children(data, a, b):
                         if k == CUE_POINT:
@@ -216,9 +223,9 @@ def to_media(docs: DataFrame) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, text in rows(batches):
-            padded = text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([write_pcm(padded)], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for _, ids, texts in blocks(batches, 4 << 20):
+            media = [write_pcm(t.ljust(max(64, -(-len(t) // 64) * 64), b"\0")) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), utf8()).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
