@@ -76,7 +76,7 @@ def utf8(text: str = "text") -> Column:
 
 def bucket_count(docs: DataFrame, text: str = "text") -> int:
     """Buckets of an exchange over docs, so that one stands for at most BUCKET_BYTES of text, and a few for each shuffle partition."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    size = steady(docs).agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
     return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
@@ -87,14 +87,25 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs, in a session that splits files alike each time they are scanned, also after executors were lost.
+
+    Rows that are known by their place in a scan need this. A setting that the session has already stays.
+    """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return docs
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list]]:
     """(block id, doc_ids, texts) of (doc_id, bytes) rows.
 
-    A block ends where its bytes reach the limit. Its id comes from the partition and its place there, so two passes over
-    the same scan, and a task that is run again, number blocks alike.
+    A block ends where its bytes reach the limit. Its id is what monotonically_increasing_id gives its first row, so two passes
+    over the same scan, and a task that is run again, number blocks alike, and the row at place i of a block has the id plus i.
     """
     part = TaskContext.get()
-    base, n, size = (part.partitionId() if part else 0) << 32, 0, 0
+    row, size = (part.partitionId() if part else 0) << 33, 0
     ids: list = []
     texts: list = []
     for doc_id, text in rows(batches):
@@ -102,10 +113,10 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         texts.append(text)
         size += len(text)
         if size >= limit or len(ids) >= 1 << 16:
-            yield base | n, ids, texts
-            n, size, ids, texts = n + 1, 0, [], []
+            yield row, ids, texts
+            row, size, ids, texts = row + len(ids), 0, [], []
     if ids:
-        yield base | n, ids, texts
+        yield row, ids, texts
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

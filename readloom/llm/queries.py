@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import language_model, licenses, pieces, quality, simhash, suffix_dedup, toxicity
 from readloom.llm.common import documents
-from readloom.llm.matroska import media_round_trip
+from readloom.llm.matroska import cues, media_round_trip, packets, to_media
 from readloom.llm.packing import pack
 from readloom.llm.token_counts import count_tokens
 
@@ -28,6 +28,11 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(documents(spark, sf_dir))
 
 
+def host_quality_of_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with languages as hosts: one of them fails in the test data, as the hosts there do not."""
+    return quality.host_quality(documents(spark, sf_dir), "lang")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,6 +41,16 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(documents(spark, sf_dir))
 
 
+def matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table of the stored media of all documents."""
+    return packets(to_media(documents(spark, sf_dir)))
+
+
+def matroska_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cue table of the stored media of all documents."""
+    return cues(to_media(documents(spark, sf_dir)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -61,8 +76,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op6_pieces, op7_token_counts, op8_licenses, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_model, op2_host_quality, op3_simhash, op4_matroska, op5_packing, op6_pieces, op7_token_counts, op8_licenses, op9_suffix_dedup, op10_toxicity, host_quality_of_languages, matroska_packets, matroska_cues)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_quality": quality.ORACLE, "op8_licenses": licenses.ORACLE}
+    return {"op2_host_quality": quality.ORACLE, "host_quality_of_languages": quality.LANGUAGE_ORACLE, "op8_licenses": licenses.ORACLE}

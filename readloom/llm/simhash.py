@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from readloom.llm.common import blocks, cut, utf8
+from readloom.llm.common import blocks, cut, steady, utf8
 from readloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -295,7 +295,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar:
 
     Classes are those of ``classes``, or with similar those of ``similar_classes``.
     """
-    rowed = docs.withColumn("__row", F.monotonically_increasing_id())
+    rowed = steady(docs).withColumn("__row", F.monotonically_increasing_id())
     found = (similar_classes if similar else classes)(rowed.select("__row", text), "__row", text)
     order = F.struct(F.col(key).isNull(), F.col(key), "__row")
     ids = found.join(rowed.select("__row", key), "__row")

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, utf8
+from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, rows_digest, sized, slices, utf8
 from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, unframed, unpack_sorted, unsqueeze
 from readloom.llm.induced import suffix_array
 
@@ -189,7 +191,7 @@ def _shard(width: int):
 
 def _spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(answers with the covered spans of blocks, block rows)"""
-    n_buckets = bucket_count(docs.sparkSession)
+    n_buckets = bucket_count(docs)
     scan = docs.select(F.col("doc_id").cast("long"), utf8())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,7 @@ def _spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
                 x = f.firsts[s:e]
                 out[b] = framed(pack_sorted(h[s:e]), *_columns(f.mark[x].view(np.int64), f.doc[x], f.nth[x], f.first[x]))
             if out:
-                yield request_batch(block, out)
+                yield request_batch(block, rows_digest(ids, list(map(len, texts))), out)
 
     def part(got: list[bytes], block: pa.Table) -> pa.Table:
         ids, texts = block_texts(block)
@@ -216,12 +218,12 @@ def _spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             x = open_[s:e]
             pieces = [texts[n][a : z + width] for n, a, z in zip(f.nth[x].tolist(), f.first[x].tolist(), f.last[x].tolist())]
             payloads[b] = framed(*_columns(f.doc[x], f.nth[x], f.first[x], np.array(list(map(len, pieces)))), squeeze(b"".join(pieces)))
-        return pa.Table.from_batches([request_batch(block["block"][0].as_py(), payloads)])
+        return pa.Table.from_batches([request_batch(block["block"][0].as_py(), rows_digest(ids, list(map(len, texts))), payloads)])
 
     texts = block_rows(scan, BLOCK)
     parts = cut(meet(answer(scan.mapInArrow(ask, REQUESTS), compare), texts, part, REQUESTS))
     shards = answer(parts.where("bucket >= 0"), _shard(width))
-    return shards.unionByName(parts.where("bucket < 0").select("block", "bucket", "payload", F.lit(None).cast("array<long>").alias("sums"))), texts
+    return shards.unionByName(parts.where("bucket < 0").select("block", "digest", "bucket", "payload", F.lit(None).cast("array<long>").alias("sums"))), texts
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,12 +237,13 @@ def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _by_text(got: list[bytes], n: int) -> list[list[tuple[int, int]]]:
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+def _by_text(got: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The runs of the texts of a block that have any, by place."""
+    spans: dict[int, list[tuple[int, int]]] = {}
     for data in got:
         for i, a, b in zip(*(_column(x).tolist() for x in unframed(data))):
-            spans[i].append((a, b))
-    return [runs(s) for s in spans]
+            spans.setdefault(i, []).append((a, b))
+    return {i: runs(s) for i, s in spans.items()}
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -256,8 +259,9 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def cut_out(got: list[bytes], block: pa.Table) -> pa.Table:
         ids, texts = block_texts(block)
-        out = []
-        for doc_id, text, spans in zip(ids, texts, _by_text(got, len(texts))):
+        out, found = [], _by_text(got)
+        for nth, (doc_id, text) in enumerate(zip(ids, texts)):
+            spans = found.get(nth, [])
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(text[at:a])
@@ -270,42 +274,51 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return meet(answers, texts, cut_out, REMOVED)
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with shorter texts: whole characters of ``repeats`` are cut out of text, and n_chars follows. Other columns stay; a null text stays null."""
-    rowed = docs.withColumn("__row", F.monotonically_increasing_id())
-    keyed = docs.select("doc_id", "text")
-
-    def cut_out(got: list[bytes], block: pa.Table) -> pa.Table:
-        ids, texts = block_texts(block)
-        out = []
-        for text, spans in zip(texts, _by_text(got, len(texts))):
-            kept, at = [], 0
-            for a, b in spans:
-                while a < b and text[a] & 0xC0 == 0x80:  # a character that is not covered whole stays
-                    a += 1
-                while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(text[at:a])
-                at = b
-            out.append(b"".join([*kept, text[at:]]).decode("utf-8", "replace"))
-        return tabled(["block", "nth", "new"], [[block["block"][0].as_py()] * len(out), range(len(out)), out], [pa.int64(), pa.int64(), pa.string()])
-
-    answers, texts = _spans(keyed, width)
-    new = meet(answers, texts, cut_out, "block long, nth long, new string")
-    return _attach(rowed, new)
-
+def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """text without the whole characters of spans; a character that is not covered whole stays."""
+    kept, at = [], 0
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(text[at:a])
+        at = b
+    return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
-def _attach(rowed: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of rowed with the new texts of their blocks."""
-    names = rowed.columns
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, _ in blocks(batches, BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())], ["at", "n", "row"])
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with shorter texts: whole characters of ``repeats`` are cut out of text, and n_chars follows. Other columns stay; a null text stays null.
 
-    places = rowed.select("__row", utf8()).mapInArrow(number, "at long, n long, row long")
-    found = new.join(places, (F.col("block") == F.col("at")) & (F.col("nth") == F.col("n"))).select(F.col("row").alias("__of"), F.col("new").alias("__new"))
-    joined = rowed.join(found, F.col("__row") == F.col("__of"))
-    text = F.when(F.col("text").isNotNull(), F.col("__new"))
-    values = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return joined.select(*(values.get(c, F.col(c)).alias(c) for c in names if c != "__row"))
+    The runs to cut are known by the row; texts are shuffled only to meet them, or not at all where few rows have any.
+    """
+    spans, _ = _spans(docs.select("doc_id", "text"), width)
+    names, at = docs.columns, docs.columns.index("text")
+    schema = to_arrow_schema(docs.schema)
+
+    def by_row(table: pa.Table) -> pa.Table:
+        found = _by_text(table["payload"].to_pylist())
+        first = table["block"][0].as_py()
+        ends = [[[span[i] for span in spans] for spans in found.values()] for i in (0, 1)]
+        return tabled(["__of", "__from", "__to"], [[first + i for i in found], *ends], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, at):
+            new = part.column(at).to_pylist()
+            hit = pc.indices_nonzero(part.column(len(names)).is_valid()).to_pylist()
+            starts, stops = (part.column(len(names) + i).to_pylist() for i in (0, 1))
+            for i in hit:
+                if new[i] is None or stops[i][-1] > len(texts[i]):
+                    raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
+                new[i] = _without(texts[i], list(zip(starts[i], stops[i])))
+            columns = part.columns[: len(names)]
+            columns[at] = pa.array(new, schema.field(at).type)
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                columns[n] = pa.array([None if t is None else len(t) for t in new], schema.field(n).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    found = spans.where("block >= 0").groupBy("block").applyInArrow(by_row, "__of long, __from array<long>, __to array<long>")
+    rowed = docs.withColumn("__row", F.monotonically_increasing_id())
+    joined = rowed.join(sized(found), F.col("__row") == F.col("__of"), "left").select(*names, "__from", "__to")
+    return joined.mapInArrow(cut_out, docs.schema)

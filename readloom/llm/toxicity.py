@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import blocks, rows, utf8
+from readloom.llm.common import blocks, rows, slices, utf8
 
 #: Labelled rows of each class that training may take; a bound on what one task holds.
 SAMPLE = 3000
@@ -229,7 +229,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns. Rows that share a doc_id are judged together: any toxic one removes them all."""
-    toxic = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("__toxic")), "left_anti")
+def keep_civil(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns: ``classify`` and a filter in the same pass, each row for itself."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels.where(~held_out()), sample))  # BUCKETS numbers
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bias = shared.value
+        scores = WordScores(table)
+        for part, texts in slices(batches, at):
+            words = [t.decode("utf-8", "replace").lower().split() for t in texts]
+            scores.of(words)
+            yield part.filter(pa.array([score_text(w, scores, bias) < threshold for w in words]))
+
+    return docs.mapInArrow(run, docs.schema)

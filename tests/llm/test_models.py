@@ -104,11 +104,26 @@ def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     assert got[43].kept and not got[42].kept and all(got[i].kept for i in range(44, len(rows)))
     assert quality.keep_good(frame).count() == 501
     assert quality.keep_good(frame).columns == frame.columns
+    assert quality.keep_good(frame.limit(0)).collect() == []
+    assert {r.host_failed for r in quality.verdicts(frame.where("source <> 'bad'")).collect()} == {False}
     assert quality.verdicts(frame.limit(0)).collect() == []
 
 
+def test_quality_of_odd_rows(odd):
+    """Null and repeated ids, nulls in all columns, and columns named as the measures are."""
+    got = quality.verdicts(odd).collect()
+    want = {str(r.doc_id) for r in odd.collect()}
+    assert len(got) == len(ODD) and {str(r.doc_id) for r in got} == want
+    assert quality.measure(odd).columns.count("n_words") == 1
+    loose = quality.keep_good(odd, min_words=0)
+    assert loose.columns == odd.columns and loose.schema == odd.schema
+    rows = {tuple(r) for r in odd.collect()}
+    assert {tuple(r) for r in loose.collect()} <= rows
+    assert quality.keep_good(odd).count() == sum(r.kept for r in got)
+
+
 def test_beta_prior():
-    assert quality.beta_prior(0, 0, 0.0, 0, 0.0) == (0.0, 1.0)
+    assert quality.beta_prior(0, 0, 0.0, 0, 0.0) == (0.0, 10.0)
     alpha, total = quality.beta_prior(3, 300, 30000.0, 30, 3.0)  # no spread at all
     assert total == 1e6 and abs(alpha / total - 0.1) < 1e-12
 

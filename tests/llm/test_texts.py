@@ -53,6 +53,9 @@ def test_simhash(sample, odd):
         want = sorted((str(k), f"{p:016x}", str(rows[i][0])) for (k, _), p, i in zip(rows, prints, first))
         assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(frame).collect()) == want
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
+    for similar in (False, True):
+        assert simhash.keep_one(odd.limit(0), similar=similar).collect() == []
+        assert simhash.keep_one(odd, similar=similar).columns == odd.columns
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len({*map(str, groups([fingerprint(t) for _, t in pairs(odd)], lambda a, b: (a ^ b).bit_count() <= 2))})
 
@@ -169,6 +172,18 @@ def test_suffix_dedup_keeps_columns_and_characters(spark, odd):
     assert got[2].text == "abcd" and got[2].n_chars == 4
     again = suffix_dedup.without_repeats(odd)
     assert again.columns == odd.columns and again.count() == len(ODD)
+    assert suffix_dedup.without_repeats(odd.limit(0)).collect() == []
+
+
+def test_blocks_that_change_are_refused(spark, sample):
+    """A table that gives other rows in the second pass fails the job, rather than giving wrong results."""
+    from readloom.llm.exchange import REQUESTS, answer, meet, request_batch
+    from readloom.llm.common import block_rows, utf8
+
+    scan = sample[0].select("doc_id", utf8())
+    requests = spark.createDataFrame([(0, 0, 12345, b"x")], REQUESTS)
+    with pytest.raises(Exception, match="other rows"):
+        meet(answer(requests, lambda got: (got, [])), block_rows(scan), lambda got, block: block.select(["block"]), "block long").collect()
 
 
 @pytest.mark.parametrize("n", [64, 512, 513, 4096, 4097, 65536, 70001])
@@ -177,7 +192,7 @@ def test_matroska_round_trip(n):
     data = matroska.write_pcm(payload)
     packets, cues, fault = matroska.parse(data)
     assert fault is None and b"".join(data[p[5] : p[5] + p[6]] for p in packets) == payload
-    assert [p[2] for p in packets] == sorted(p[2] for p in packets)
+    assert [p[2] for p in packets] == [64_000_000 * i for i in range(len(packets))]  # frames of 512 samples at 8 kHz
     assert all(data[c[2] : c[2] + 4] == matroska.CLUSTER.to_bytes(4, "big") for c in cues)
 
 
@@ -301,3 +316,13 @@ def test_pipeline(spark, sample, tmp_path):
         assert n_bytes - n_removed <= len(r.text.encode()) <= n_bytes - n_removed + 6 * cut[r.doc_id][2] and r.n_chars == len(r.text)
     prints = [fingerprint(t) for _, t in deduped]
     assert all((a ^ b).bit_count() > 2 for a, b in itertools.combinations(prints, 2))
+    import os
+
+    ran = corpus_pipeline.run(spark, folder)
+    assert in_order(ran) == in_order(docs)
+    place = os.path.dirname(ran.inputFiles()[0]).removeprefix("file://")
+    assert os.listdir(os.path.dirname(place)) == [os.path.basename(place)]  # nothing else is left of the run
+
+
+def in_order(pieces_):
+    return sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces_.collect())
