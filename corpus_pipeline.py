@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import packing, quality, simhash, suffix_dedup, toxicity
-from readloom.llm.common import documents, shared_dir
+from readloom.llm.common import documents, passing_cuts, remove, shared_dir
 from readloom.llm.queries import vocabulary
 
 
@@ -43,9 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder. What a stage keeps is written to the shared folder as Parquet and read again."""
+    """All stages over the documents of a folder. What a stage keeps is written to the shared folder as Parquet and read again.
+
+    What a stage cut its lineage with goes when it is written, and what it read when the next one is; the last one's rows stay.
+    """
     folder, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", documents(spark, sf_dir)
     for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        with passing_cuts(spark, f"{folder}/cuts-{n}"):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
         docs = spark.read.parquet(f"{folder}/{n}")
     return docs
