@@ -3,7 +3,8 @@
 Every window of WIDTH bytes has an anchor: the least-hashed gram in it. Equal windows have equal anchors, so blocks of
 documents ask buckets of the hash space which anchors repeat; the stretch of text whose windows share an anchor is a fragment.
 Of equal fragments all but the first are covered. Different fragments of a repeated anchor meet in a shard, whose suffixes are
-sorted by induction; neighbours that agree in WIDTH bytes are equal windows, and all but the first of those are covered.
+sorted by induction in external memory; neighbours that agree in WIDTH bytes are equal windows, and all but the first of those
+are covered. A shard streams into files of its task, so that it may be far larger than memory.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, rows_digest, sized, slices, utf8
-from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, unframed, unpack_sorted, unsqueeze
-from readloom.llm.induced import suffix_array
+from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, rows, rows_digest, sized, slices, utf8
+from readloom.llm.exchange import ANSWERS, REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, unframed, unpack_sorted, unsqueeze
+from readloom.llm.induced import HELD, PIECE, Log, suffixes, table
 
 WIDTH, GRAM = 100, 24
 #: Bytes of text in a block, and of text whose grams are hashed at once.
 BLOCK, STEP = 6 << 20, 1 << 20
+#: Bytes of fragments that are sorted at once, but for larger buckets.
+SHARD = 4 << 20
+FRAGMENT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("first", "<i8"), ("size", "<i8")])
 #: A null doc_id comes after all others.
 LAST = (1 << 63) - 1
 OTHER, COVERED, SHARED = 0, 1, 2
@@ -129,64 +133,112 @@ def compare(payloads: list[bytes]) -> tuple[list[bytes], list[int]]:
     return [squeeze(c.tobytes()) for c in np.split(code, np.cumsum(sizes)[:-1])], []
 
 
-def covered_windows(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(fragment, offset) of all windows of fragments that an equal window precedes.
-
-    docs: rank of each fragment's document; firsts: where the fragment starts in it. The fragments are joined with separators
-    and their suffixes sorted; runs of neighbours with width equal bytes are equal windows.
-    """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.ones(int((sizes + 1).sum()) + 1, np.int64)  # 1: separator, 0: end, bytes from 2
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[starts[owner] + offset] = data.astype(np.int64) + 2
-    text[-1] = 0
-    whose, where = np.full(len(text), -1, np.int64), np.zeros(len(text), np.int64)
-    valid = offset + width <= sizes[owner]
-    at = starts[owner[valid]] + offset[valid]
-    whose[at], where[at] = owner[valid], offset[valid]
-    order = suffix_array(text.astype(np.int32), 258, depth=width)
-    order = order[whose[order] >= 0]
-    view = np.lib.stride_tricks.sliding_window_view(text.astype(np.int16), width)
-    new = np.ones(len(order), bool)
-    for i in range(1, len(order), 1 << 15):
-        j = min(len(order), i + (1 << 15))
-        new[i:j] = (view[order[i:j]] != view[order[i - 1 : j - 1]]).any(axis=1)
-    run = np.cumsum(new)
-    fragment, place = whose[order], where[order]
-    sort = np.lexsort((firsts[fragment] + place, docs[fragment], run))
-    later = np.ones(len(order), bool)
-    later[1:] = run[sort[1:]] == run[sort[:-1]]
-    later[:1] = False
-    fragment, place = fragment[sort][later], place[sort][later]
-    sort = np.lexsort((place, fragment))
-    return fragment[sort], place[sort]
-
-
-def _shard(width: int):
-    def work(payloads: list[bytes]) -> tuple[list[bytes], list[int]]:
-        asked = [unframed(p) for p in payloads]
-        doc, nth, first, sizes = (np.concatenate([_column(a[i]) for a in asked]) for i in range(4))
-        data = b"".join(unsqueeze(a[4]) for a in asked)
-        ends = np.cumsum(sizes)
-        texts = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
-        block = np.repeat(np.arange(len(asked)), [len(_column(a[0])) for a in asked])
-        order = np.lexsort((nth, block, doc))
-        new = np.ones(len(doc), bool)
-        new[1:] = (nth[order[1:]] != nth[order[:-1]]) | (block[order[1:]] != block[order[:-1]])
-        rank = np.zeros(len(doc), np.int64)
-        rank[order] = np.cumsum(new)
-        fragment, place = covered_windows(texts, rank, first, width)
-        head = np.ones(len(fragment), bool)
-        head[1:] = (fragment[1:] != fragment[:-1]) | (place[1:] != place[:-1] + 1)
-        a = np.flatnonzero(head)
-        b = np.append(a[1:], len(fragment))[: len(a)] - 1
-        own, start, end = fragment[a], first[fragment[a]] + place[a], first[fragment[a]] + place[b] + width
-        return [framed(*_columns(nth[own[x]], start[x], end[x])) for x in (block[own] == i for i in range(len(asked)))], []
-
-    return work
+class Shard:
+    """Fragments of text on disk, with their documents and places, until their suffixes are sorted."""
+
+    def __init__(self, width: int = WIDTH, held: int = HELD):
+        self.width, self.held = width, held
+        self.data, self.fragments = Log("u1", held), Log(FRAGMENT, held)
+
+    def add(self, doc: np.ndarray, row: np.ndarray, first: np.ndarray, sizes: np.ndarray, data: bytes) -> None:
+        """Fragments by their document, row of the input, first byte in it, and size, and their bytes one after another."""
+        some = np.zeros(len(doc), FRAGMENT)
+        some["doc"], some["row"], some["first"], some["size"] = doc, row, first, sizes
+        self.fragments.put(some)
+        self.data.put(np.frombuffer(data, np.uint8))
+
+    def _tables(self) -> None:
+        """The fragments joined by separators: 0 ends the text, 1 parts fragments, bytes are from 2 on."""
+        n = self.fragments.count
+        self.table, self.starts = table(n, FRAGMENT, self.held), table(n + 1, "<i8", self.held)
+        at = total = 0
+        for some in self.fragments.pieces():
+            self.table[at : at + len(some)] = some
+            ends = total + np.cumsum(some["size"] + 1)
+            self.starts[at + 1 : at + 1 + len(some)] = ends
+            at, total = at + len(some), int(ends[-1])
+        self.text = table(total + 1, "<i2", self.held)
+        at = 0  # bytes so far, without separators
+        raw = table(n + 1, "<i8", self.held)
+        raw[:] = np.asarray(self.starts) - np.arange(n + 1)
+        for piece in self.data.pieces():
+            for i in range(0, len(piece), PIECE):
+                some = piece[i : i + PIECE]
+                place = np.arange(at, at + len(some))
+                self.text[place + np.searchsorted(raw, place, "right") - 1] = some.astype(np.int16) + 2
+                at += len(some)
+        self.text[np.asarray(self.starts[1:]) - 1] = 1
+
+    def covered(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, start, end) of the spans covered by windows that an equal one precedes, in an earlier document, row or place."""
+        self._tables()
+        marked, best, fresh = table(len(self.text), "u1", self.held), None, True
+        for entries in suffixes(self.text, 258, self.width, self.held):
+            run = np.cumsum(entries["lcp"] < self.width)
+            own = np.searchsorted(self.starts, entries["pos"], "right") - 1
+            valid = entries["pos"] + self.width < np.asarray(self.starts[np.minimum(own + 1, len(self.starts) - 1)])
+            run, pos, own = run[valid], entries["pos"][valid], own[valid]
+            if best is not None:  # the first so far of the windows that may go on
+                run, pos, own = np.append(0, run), np.append(best[0], pos), np.append(best[1], own)
+            if not len(run):
+                continue
+            same = run[1:] == run[:-1]
+            many = np.append(same, False) | np.append(False, same)
+            last = run[-1]
+            some = np.flatnonzero(many)
+            about = self.table[own[some]]
+            order = np.lexsort((about["first"] + pos[some] - self.starts[own[some]], about["row"], about["doc"], run[some]))
+            some = some[order]
+            later = np.zeros(len(some), bool)
+            later[1:] = run[some[1:]] == run[some[:-1]]
+            marked[pos[some[later]]] = 1
+            firsts = some[~later]
+            keep = firsts[-1] if len(firsts) and run[firsts[-1]] == last else len(run) - 1
+            best = (pos[keep], own[keep])
+            shift = np.count_nonzero(entries["lcp"] < self.width)
+            if shift > last:  # what came last fits no window, so nothing goes on
+                best = None
+        for i in range(0, len(marked), 1 << 20):
+            at = i + np.flatnonzero(marked[i : i + (1 << 20)])
+            if not len(at):
+                continue
+            own = np.searchsorted(self.starts, at, "right") - 1
+            head = np.ones(len(at), bool)
+            head[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
+            a = np.flatnonzero(head)
+            b = np.append(a[1:], len(at)) - 1
+            about = self.table[own[a]]
+            base = about["first"] - self.starts[own[a]]
+            yield about["row"], base + at[a], base + at[b] + self.width
+
+
+def _shards(parts: DataFrame, width: int, size: int, held: int) -> DataFrame:
+    """Answers to what parts sent to buckets: spans by block. Buckets are joined to shards of about size bytes; a larger bucket is a shard of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, at, marks, got = Shard(width, held), None, {}, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for row, start, end in shard.covered() if got else ():
+                known = np.array(sorted(marks))
+                block = known[np.searchsorted(known, row, "right") - 1]
+                for b in np.unique(block).tolist():
+                    x = block == b
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([marks[b]], pa.int64()), pa.array([at], pa.int32()), pa.array([framed(*_columns(row[x] - b, start[x], end[x]))], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["block", "digest", "bucket", "payload", "sums"])
+
+        for bucket, block, mark, payload in rows(batches, 16):
+            if bucket != at and got >= size:
+                yield from done()
+                shard, marks, got = Shard(width, held), {}, 0
+            *columns, data = unframed(payload)
+            doc, nth, first, sizes = map(_column, columns)
+            shard.add(doc, block + nth, first, sizes, unsqueeze(data))
+            at, marks[block], got = bucket, mark, got + int(sizes.sum())
+        yield from done()
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(n, "bucket").sortWithinPartitions("bucket", "block").select("bucket", "block", "digest", "payload")
+    return dealt.mapInArrow(run, ANSWERS)
 
 
 def _spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +274,7 @@ def _spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     texts = block_rows(scan, BLOCK)
     parts = cut(meet(answer(scan.mapInArrow(ask, REQUESTS), compare), texts, part, REQUESTS))
-    shards = answer(parts.where("bucket >= 0"), _shard(width))
+    shards = _shards(parts.where("bucket >= 0"), width, SHARD, HELD)
     return shards.unionByName(parts.where("bucket < 0").select("block", "digest", "bucket", "payload", F.lit(None).cast("array<long>").alias("sums"))), texts
 
 
