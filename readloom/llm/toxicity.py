@@ -7,7 +7,7 @@ that training never saw share n-gram vectors with those it did.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +46,16 @@ def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield word[: len(h)][inside], (h[inside] >> np.uint64(47)).astype(np.int64)
 
 
-def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _bags(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all words in order, ends) of the n-grams of words; each word has at least one n-gram."""
-    parts = [*subwords(words), (np.arange(len(words)), np.zeros(len(words), np.int64))]  # the first bucket stands for any word
-    word, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(word, kind="stable")
-    return bucket[order], np.cumsum(np.bincount(word, minlength=len(words)))
+    buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), step):
+        some = words[i : i + step]
+        parts = [*subwords(some), (np.arange(len(some)), np.zeros(len(some), np.int64))]  # the first bucket stands for any word
+        word, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        buckets.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(word, minlength=len(some)))
+    return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
 
 
 def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,22 +74,24 @@ def bag(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(place), *np.unique(windows, axis=0, return_counts=True)
 
 
-def train(texts: list[tuple[list[str], np.ndarray, np.ndarray]], labels: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[tuple[float, list[str], np.ndarray, np.ndarray]], stands: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): embeddings times the softmax's weights, as only their product is needed to score.
 
-    texts: each as ``bag`` gives it. stands: how many labelled rows each clean and each toxic text stands for. Rows weigh by it, so a sample with a bound on each
-    class has the class ratio of all rows.
+    texts: each a label, 0 or 1, and what ``bag`` gives. stands: how many labelled rows each clean and each toxic text stands
+    for. Rows weigh by it, so a sample with a bound on each class has the class ratio of all rows.
 
     With one class, or none, the scores are zero and the bias gives the class (no rows: not toxic).
     """
-    if len(set(labels.tolist())) < 2:
-        return np.zeros(BUCKETS, np.float32), 4.0 if labels.any() else -4.0
     rng = np.random.default_rng(SEED)
     place: dict[str, int] = {}
-    docs = []
-    for own, windows, times in texts:
+    docs, known = [], []
+    for label, own, windows, times in texts:
         ids = np.array([place.setdefault(w, len(place)) for w in own], np.int32)
         docs.append((np.where(windows < 0, np.int32(-1), ids[windows]), times))
+        known.append(label)
+    labels = np.array(known, np.float64)
+    if len(set(known)) < 2:
+        return np.zeros(BUCKETS, np.float32), 4.0 if labels.any() else -4.0
     grams, gram_ends = _bags(list(place))
     gram_starts = np.append(0, gram_ends[:-1])
     emb, weights, bias = rng.normal(0, 0.1, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.array([2.0, -2.0])  # toxic texts are rare, and one without words isn't
@@ -99,38 +105,33 @@ def train(texts: list[tuple[list[str], np.ndarray, np.ndarray]], labels: np.ndar
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(docs)), parts):
             step += 1
-            # the n-grams of the batch's words
+            # the mean vectors of the batch's words, and what each adds to the difference of the two classes
             tokens = np.concatenate([docs[i][0] for i in batch])
-            has = tokens >= 0
-            length = has.sum(axis=1)
-            words, token = np.unique(tokens[has], return_inverse=True)
+            there = tokens >= 0
+            used = np.zeros(len(place) + 1, bool)
+            used[tokens] = True  # the last stands for no word
+            words = np.flatnonzero(used[:-1])
+            of = np.zeros(len(place) + 1, np.int32)
+            of[words] = np.arange(len(words))
             counts = gram_ends[words] - gram_starts[words]
             word_ends = np.cumsum(counts)
-            at = np.arange(word_ends[-1]) - np.repeat(word_ends - counts, counts) + np.repeat(gram_starts[words], counts)
-            vectors = _means(emb[grams[at]], word_ends)
-            # the distinct windows of each text
+            buckets = grams[np.arange(word_ends[-1]) - np.repeat(word_ends - counts - gram_starts[words], counts)]
+            vectors = _means(emb[buckets], word_ends)
+            lean = weights[:, 1] - weights[:, 0]
+            each = (vectors @ lean)[of[tokens]] * there
+            length = there.sum(axis=1)
+            margin = each.sum(axis=1) / length + bias[1] - bias[0]
+            # at first all windows stand for their text alike, in the end the most toxic ones
             win = np.array([len(docs[i][0]) for i in batch])
+            doc, first = np.repeat(np.arange(len(batch)), win), np.cumsum(win) - win
             times = np.concatenate([docs[i][1] for i in batch])
-            doc = np.repeat(np.arange(len(batch)), win)
-            owner = np.repeat(np.arange(len(doc)), length)
-            pooled = np.add.reduceat(vectors[token], np.cumsum(length) - length, axis=0)
-            pooled /= length[:, None]
-            logits = pooled @ weights + bias
-            margin = logits[:, 1] - logits[:, 0]
-            # at first all windows stand for their text alike, in the end the most toxic ones
-            first = np.cumsum(win) - win
-            heat = SHARPEST * step / steps
-            pull = times * np.exp(heat * (margin - np.maximum.reduceat(margin, first)[doc]))
+            pull = times * np.exp(SHARPEST * step / steps * (margin - np.maximum.reduceat(margin, first)[doc]))
             pull /= np.add.reduceat(pull, first)[doc]
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * margin, first), -30, 30)))
-            d = np.stack([labels[batch] - p, p - labels[batch]], axis=1)[doc] * (weight[batch][doc] * pull)[:, None] / len(batch)
-            grad_w, d_pool = pooled.T @ d, d @ weights.T
-            d_token = (d_pool / length[:, None])[owner]
-            used = np.flatnonzero(d_token.any(axis=1))
-            d_word = np.stack([np.bincount(token[used], d_token[used, k], len(words)) for k in range(SIZE)], axis=1) / counts[:, None]
-            hit = np.repeat(d_word.any(axis=1), counts)
-            bucket, each = grams[at][hit], np.repeat(d_word, counts, axis=0)[hit]
-            grad_e = np.stack([np.bincount(bucket, each[:, k], BUCKETS) for k in range(SIZE)], axis=1)
+            d = ((p - labels[batch]) * weight[batch] / len(batch))[doc] * pull / length
+            d_word = np.bincount(of[tokens[there]], np.repeat(d, length), len(words))
+            grad_w = np.outer(vectors.T @ d_word, [-1.0, 1.0])
+            grad_e = np.outer(np.bincount(buckets, np.repeat(d_word / counts, counts), BUCKETS), lean)
             for x, g, (m, v) in zip((emb, weights), (grad_e, grad_w), moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -191,13 +192,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "toxic", "words", "windows", "times"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted(rows(batches))
-        bags = [(w.split("\n"), np.frombuffer(p, "<i4").reshape(-1, WINDOW), np.frombuffer(n, "<i4")) for *_, w, p, n in got]
-        model, bias = train(bags, np.array([k for _, k, *_ in got], np.float64), stands)
+        model, bias = train(((float(k), w.split("\n"), np.frombuffer(p, "<i4").reshape(-1, WINDOW), np.frombuffer(n, "<i4")) for _, k, w, p, n in rows(batches, 16)), stands)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()]), pa.array([bias])], ["model", "bias"])
 
     whole = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, words string, windows binary, times binary")
-    found = whole.repartition(1).mapInArrow(fit, "model binary, bias double").first()
+    one = whole.repartition(1).sortWithinPartitions("doc_id")  # no more than sample rows of each class
+    found = one.mapInArrow(fit, "model binary, bias double").first()
     return (np.frombuffer(found["model"], np.float32), found["bias"]) if found else (np.zeros(BUCKETS, np.float32), -4.0)
 
 
