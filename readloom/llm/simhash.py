@@ -220,8 +220,8 @@ def _own(differing: list[np.ndarray]) -> np.ndarray:
 def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFrame:
     """(a, b): pairs of the nodes (node, root, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit.
 
-    Pairs of one root are left out. Where no roots are known yet, all null, each node is paired with only the next one of every
-    bucket, so that a bucket gives no more pairs than it has nodes.
+    Each pair is taken in one bucket only. Pairs of one root are left out. Where no roots are known yet, all null, each node of a
+    bucket is paired with only the next one there, so that a bucket gives no more pairs than it has nodes.
     """
     names = [c for c in nodes.columns if c not in ("node", "root")]
     v = F.col("v")
@@ -239,11 +239,10 @@ def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFra
             near &= (root[at] != root[at + lag]) | (root[at] < 0)
             if near.any():
                 i = at[near]
-                known = root[i] >= 0
-                i = i[~known | (_own([d[near] for d in differing]) == keys[i] >> 16)]
+                i = i[_own([d[near] for d in differing]) == keys[i] >> 16]
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i + lag])], ["a", "b"])
+                at = np.setdiff1d(at, i[root[i] < 0], assume_unique=True)
             lag += 1
-            at = at[~near | (root[at] >= 0)]
             at = at[at + lag < len(keys)]
             at = at[keys[at] == keys[at + lag]]
 
@@ -251,7 +250,7 @@ def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFra
         for columns in whole_runs(batches):
             yield from close(*columns)
 
-    return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct())
+    return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY) -> DataFrame:
