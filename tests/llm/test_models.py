@@ -137,8 +137,36 @@ def test_licenses_of_nothing_and_placing(spark, odd):
     assert (got[2].base_labels, got[2].labels, got[2].first_word, got[2].score) == ("", "apache-2.0", None, 1.0)
     assert (got[3].labels, got[3].score) == ("", 0.0)
     assert (got[4].base_labels, got[4].first_word, got[4].n_words) == ("reserved", 2, 6)
-    with pytest.raises(ValueError):
-        licenses.scan(odd, templates=(("x", " ".join(map(str, range(30_000)))),))
+    many = licenses.scan(odd, templates=(("x", " ".join(map(str, range(30_000)))),)).collect()  # no cap on templates
+    assert len(many) == len(ODD) and {r.labels for r in many} == {""}
+    assert {r.labels for r in licenses.scan(odd, templates=()).collect()} == {""}
+    assert sorted(str(r.doc_id) for r in licenses.scan(odd).collect()) == sorted(str(r.doc_id) for r in odd.collect())
+
+
+def test_licenses_are_told_apart(spark):
+    """Every notice gives exactly its own label beside those of phrases, also when its lines are wrapped and prose is around it."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("etaonrish"), 5)) for _ in range(n))
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "Released under the MIT License.": "mit",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa-4.0",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "All rights reserved.": "reserved",
+        "Released under the GPL license": "",
+        "This Source Code Form is subject to the terms of the Mozilla\nPublic\nLicense, v. 2.0": "mpl-2.0",
+    }
+    for label, text in licenses.TEMPLATES:
+        wrapped = text.replace(", ", ",\n * ")
+        base = [v for k, v in licenses.PHRASES.items() if f" {k} " in f" {' '.join(licenses.re.split(licenses.BETWEEN_WORDS, text.lower()))} "]
+        notices[wrapped] = ",".join(sorted({label, *base}))
+    rows = [(text, want) for notice, want in notices.items() for text in (notice, f"{prose(37)}\n{notice}\n{prose(300)}")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    wrong = [(rows[i], got[i]) for i in range(len(rows)) if got[i] != rows[i][1]]
+    assert not wrong
 
 
 def toxic_rows(n, start, words, rng):

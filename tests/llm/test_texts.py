@@ -122,12 +122,50 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("held, piece", [(1 << 24, 1 << 16), (200, 7), (3000, 64)])
+def test_suffixes(held, piece, monkeypatch):
+    """Order and common prefixes against brute force; small bounds make queues, logs and tables go to disk, and the recursion go deep."""
+    monkeypatch.setattr(induced, "PIECE", piece)
     rng = np.random.default_rng(0)
-    for held, k, n in itertools.product((induced.HELD, 100), (1, 2, 3, 30), (1, 2, 3, 17, 300)):
+    for k, n, kind, depth in itertools.product((1, 2, 30), (1, 2, 17, 300), ("random", "periodic", "flat"), (5, 20, 1000)):
         text = np.append(rng.integers(1, k + 1, n), 0).astype(np.int32)
-        plain = text.tolist()
-        assert induced.suffix_array(text, k + 1, held=held).tolist() == sorted(range(n + 1), key=lambda i: plain[i:])
+        if kind == "periodic":
+            text[:-1] = np.resize(text[: max(1, n // 3)], n)
+        elif kind == "flat" and n > 10:
+            text[3 : 3 + n // 2] = text[3]
+        got = np.concatenate([np.zeros(0, induced.ENTRY), *induced.suffixes(text, k + 1, depth, held)])
+        plain, pos = text.tolist(), got["pos"].tolist()
+        assert sorted(pos) == list(range(n))
+        heads = [plain[i : i + depth] for i in pos]
+        assert all(x >= y for x, y in itertools.pairwise(heads))
+        common = [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y))) for x, y in itertools.pairwise(heads)]
+        assert got["lcp"].tolist() == [0, *common]
+
+
+def test_shard_larger_than_memory(monkeypatch):
+    """A shard of many times the bound on what each of its tables, logs and queues holds is sorted within a few times that bound."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(induced, "PIECE", 1024)
+    held, n = 16 << 10, 2600
+    base = rng.integers(97, 123, 400).astype(np.uint8).tobytes()
+    texts = [base[(a := int(rng.integers(200))) : a + 100] + rng.integers(97, 123, int(rng.integers(0, 60))).astype(np.uint8).tobytes() for _ in range(n)]
+    assert sum(map(len, texts)) > 20 * held
+    tracemalloc.start()
+    shard = suffix_dedup.Shard(100, held)
+    for i in range(0, n, 50):
+        some = texts[i : i + 50]
+        shard.add(np.full(len(some), 7), np.arange(i, i + len(some)), np.zeros(len(some), np.int64), np.array(list(map(len, some))), b"".join(some))
+    spans = [[] for _ in range(n)]
+    for row, start, end in shard.covered():
+        for r, a, b in zip(row.tolist(), start.tolist(), end.tolist()):
+            spans[r].append((a, b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * held  # some dozens of tables, logs and queues
+    got = [sum(b - a for a, b in suffix_dedup.runs(s)) for s in spans]
+    assert got == [r[1] for r in without_repeats([t.decode() for t in texts])]
 
 
 def without_repeats(rows, width=100):
@@ -154,6 +192,7 @@ def repetitive(seed):
 
 def test_suffix_dedup(spark, sample, odd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
     made = spark.createDataFrame(list(enumerate(repetitive(4))), "doc_id long, text string").repartition(4).localCheckpoint()
     for frame in (made, sample[0]):
         rows = sorted(pairs(frame))
