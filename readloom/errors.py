@@ -1,7 +1,7 @@
-"""Exceptions of this library. Option errors are also ValueErrors."""
+"""Exceptions of this library, all RuntimeErrors. Option errors are also ValueErrors."""
 
 
-class ReadloomError(Exception):
+class ReadloomError(RuntimeError):
     pass
 
 
@@ -23,3 +23,11 @@ class MissingKey(ReadloomError):
 
 class DestinationExists(ReadloomError):
     """A temporary dataset was to be kept where something is already."""
+
+
+class LengthMismatch(ReadloomError):
+    """A read's sequence and quality differ in length."""
+
+
+class KeyWidth(ReadloomError):
+    """A record's key is null or has not the bytes of its kind."""

@@ -6,6 +6,7 @@ Codecs are kept in registries; ``register`` adds one's own, written with column
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,13 +21,19 @@ BINS = ((0, 0), (2, 6), (10, 15), (20, 22), (25, 27), (30, 33), (35, 37), (40, 4
 
 @dataclass(frozen=True)
 class Codec:
+    """A way to store a field. Its tag of 16 bytes is made of the field and the name where none is given."""
+
     field: str
     name: str
-    tag: str
     store: Callable[[Column], Column | None]
     restore: Callable[[Column], Column]
     size: Callable[[Column], Column]
     lossy: bool = False
+    given_tag: str | None = None
+
+    @property
+    def tag(self) -> str:
+        return self.given_tag or made_tag(self.field, self.name)
 
     def round_trip(self, column: Column) -> Column:
         """What a field is after it was stored and restored."""
@@ -34,6 +41,11 @@ class Codec:
         return F.lit("") if stored is None else self.restore(stored)
 
 
+def made_tag(kind: str, name: str) -> str:
+    """16 characters that name a codec or key: its kind's first three, and a digest of its name."""
+    return f"{kind[:3]}-{hashlib.md5(name.encode()).hexdigest()[:12]}"
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -75,23 +87,24 @@ def n_ambiguous(sequence: Column) -> Column:
 def sideband(sequence: Column) -> Column:
     """(pos, base) of each base that is not A, C, G or T, from position 0."""
     bases = F.transform(F.split(sequence, ""), lambda b, i: F.struct(i.alias("pos"), b.alias("base")))
-    return F.filter(bases, lambda x: ~x["base"].rlike(r"^[ACGTacgt]?\z"))
+    odd = F.filter(bases, lambda x: ~F.contains(F.lit("ACGTacgt"), x["base"]))  # which contains the empty string at the end as well
+    return F.when(n_ambiguous(sequence) > 0, odd).otherwise(F.array().cast("array<struct<pos:int,base:string>>"))
 
 
 def pack(sequence: Column) -> Column:
-    """Two bits a base in 64-bit words as a binary column, the first base highest; other bases count as A, and the last word is filled up."""
+    """Two bits a base in 64-bit words as a binary column, the first base highest; other bases count as A, and the last word is filled up.
+
+    The digits are cut into words once, so the work is linear in the length.
+    """
     clean = F.translate(F.regexp_replace(two_bit_exact(sequence), "[^ACGT]", "A"), "ACGT", "0123")
-    words = F.sequence(F.lit(0), F.ceil(F.length(sequence) / 32).cast("int") - 1)
-    word = lambda i: F.lpad(F.conv(F.rpad(F.substr(clean, i * 32 + 1, F.lit(32)), 32, "0"), 4, 16), 16, "0")
-    return F.unhex(F.when(F.length(sequence) > 0, F.array_join(F.transform(words, word), "")).otherwise(""))
+    word = lambda digits: F.lpad(F.conv(F.rpad(digits, 32, "0"), 4, 16), 16, "0")
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(clean, F.lit(".{1,32}"), F.lit(0)), word), ""))
 
 
 def unpack(words: Column, length: Column) -> Column:
     """The bases of ``pack``."""
-    base4 = lambda i: F.lpad(F.conv(F.substr(F.hex(words), i * 16 + 1, F.lit(16)), 16, 4), 32, "0")
-    n = F.ceil(length / 32).cast("int") - 1
-    text = F.translate(F.array_join(F.transform(F.sequence(F.lit(0), n), base4), ""), "0123", "ACGT")
-    return F.when(length > 0, F.substr(text, F.lit(1), length)).otherwise("")
+    digits = F.transform(F.regexp_extract_all(F.hex(words), F.lit(".{16}"), F.lit(0)), lambda w: F.lpad(F.conv(w, 16, 4), 32, "0"))
+    return F.substr(F.translate(F.array_join(digits, ""), "0123", "ACGT"), F.lit(1), length)
 
 
 def _with_bases(text: Column, odd: Column, base: Callable[[Column], Column], pos: Callable[[Column], Column]) -> Column:
@@ -168,15 +181,15 @@ _nothing = lambda c: None
 _none = lambda c: F.lit(0)
 _empty = lambda c: F.lit("")
 
-register(Codec("sequence", "raw", "loom:seq:raw-txt", _same, _same, F.length))
-register(Codec("sequence", "omitted", "loom:seq:omitted", _nothing, _empty, _none, lossy=True))
-register(Codec("sequence", "two_bit_exact", "loom:seq:2b-exct", _store_exact, _restore_exact, _packed_size(5)))
-register(Codec("sequence", "two_bit_lossy_n", "loom:seq:2b-losN", _store_lossy, _restore_lossy, _packed_size(4), lossy=True))
-register(Codec("sequence", "run_length", "loom:seq:runleng", run_lengths, from_run_lengths, lambda s: 2 * F.size(run_lengths(s))))
-register(Codec("sequence", "upper", "loom:seq:upper!!", lambda s: F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _same, F.length, lossy=True))
-register(Codec("quality", "raw", "loom:qual:raw!!!", _same, _same, F.length))
-register(Codec("quality", "binned", "loom:qual:binned", binned, _same, F.length, lossy=True))
-register(Codec("quality", "omitted", "loom:qual:omittd", _nothing, _empty, _none, lossy=True))
-register(Codec("name", "raw", "loom:name:raw!!!", _same, _same, F.length))
-register(Codec("name", "omitted", "loom:name:omittd", _nothing, _empty, _none, lossy=True))
-register(Codec("name", "split", "loom:name:split!", split_name, join_name, lambda n: 4 + F.length(n) - (F.instr(n, " ") > 0).cast("int")))
+register(Codec("sequence", "raw", _same, _same, F.length))
+register(Codec("sequence", "omitted", _nothing, _empty, _none, lossy=True))
+register(Codec("sequence", "two_bit_exact", _store_exact, _restore_exact, _packed_size(5)))
+register(Codec("sequence", "two_bit_lossy_n", _store_lossy, _restore_lossy, _packed_size(4), lossy=True))
+register(Codec("sequence", "run_length", run_lengths, from_run_lengths, lambda s: 2 * F.size(run_lengths(s))))
+register(Codec("sequence", "upper", lambda s: F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _same, F.length, lossy=True))
+register(Codec("quality", "raw", _same, _same, F.length))
+register(Codec("quality", "binned", binned, _same, F.length, lossy=True))
+register(Codec("quality", "omitted", _nothing, _empty, _none, lossy=True))
+register(Codec("name", "raw", _same, _same, F.length))
+register(Codec("name", "omitted", _nothing, _empty, _none, lossy=True))
+register(Codec("name", "split", split_name, join_name, lambda n: 4 + F.length(n) - (F.instr(n, " ") > 0).cast("int")))

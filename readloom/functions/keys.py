@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from readloom.errors import InvalidOption
+from readloom.functions.codecs import made_tag
 
 PREFIX_K, MINIMIZER_K, MINIMIZER_W = 31, 31, 15
 _ROOM = 31  # the longest k-mer of a signed long
@@ -85,17 +86,21 @@ def xor_bytes(sequence: Column, width: int = 8) -> Column:
 
 @dataclass(frozen=True)
 class Key:
-    """A kind of key: its tag, its width in bytes, and how it is derived from a text sequence (None: keys are given).
+    """A kind of key: its width in bytes, how it is derived from a text sequence (None: keys are given), and a tag, made of the name where none is given.
 
     ``derive`` may give null: the read has no key. A derived number is stored as a number; bytes must have the width and sort as
     intended.
     """
 
     name: str
-    tag: str
     width: int
     derive: Callable[[Column], Column] | None = None
     kmer: bool = False
+    given_tag: str | None = None
+
+    @property
+    def tag(self) -> str:
+        return self.given_tag or made_tag("key", self.name)
 
 
 _KEYS: dict[str, Key] = {}
@@ -116,7 +121,7 @@ def key(name: str) -> Key:
     return _KEYS[name]
 
 
-register(Key("bytes8", "loom:key:bytes8!", 8))
-register(Key("bytes16", "loom:key:bytes16", 16))
-register(Key("prefix_kmer", "loom:key:pref-km", 8, prefix_kmer, kmer=True))
-register(Key("minimizer", "loom:key:minimiz", 8, minimizer, kmer=True))
+register(Key("bytes8", 8))
+register(Key("bytes16", 16))
+register(Key("prefix_kmer", 8, prefix_kmer, kmer=True))
+register(Key("minimizer", 8, minimizer, kmer=True))

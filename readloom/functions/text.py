@@ -41,11 +41,17 @@ def mismatched(sequence: str = "sequence", quality: str = "quality") -> Column:
     return F.length(sequence) != F.length(quality)
 
 
-def checked(reads: DataFrame) -> DataFrame:
-    """reads, failing at run time at one whose sequence and quality differ in length. An omitted, empty quality is exempt."""
-    wrong = mismatched() & (F.length("quality") > 0)
-    message = F.concat(F.lit("sequence and quality differ in length: "), F.length("sequence").cast("string"), F.lit(" and "), F.length("quality").cast("string"))
-    return reads.withColumn("quality", F.when(wrong, F.raise_error(message)).otherwise(F.col("quality")))
+#: What the run-time error of ``checked`` starts with.
+DIFFER = "sequence and quality differ in length"
+
+
+def checked(reads: DataFrame, may_be_empty: tuple[str, ...] = ()) -> DataFrame:
+    """reads, failing at run time at one whose sequence and quality differ in length. The fields of may_be_empty may be so beside a longer one."""
+    wrong = mismatched()
+    for field in may_be_empty:
+        wrong &= F.length(field) > 0
+    message = F.concat(F.lit(f"{DIFFER}: "), F.length("sequence").cast("string"), F.lit(" and "), F.length("quality").cast("string"))
+    return reads.withColumns({c: F.when(wrong, F.raise_error(message)).otherwise(F.col(c)) for c in ("sequence", "quality")})
 
 
 def canonical(sequence: str = "sequence") -> Column:

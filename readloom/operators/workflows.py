@@ -29,6 +29,20 @@ def sort_violations(ordered: DataFrame, chunk: str, order: str, key: str) -> Dat
     return ordered.select((before > F.col(key)).alias("falls")).agg(F.count(F.when(F.col("falls"), 1)).alias("violations"))
 
 
+def sort_report(ordered: DataFrame, key: str) -> DataFrame:
+    """(n_rows, ties, falls, first, last) of the rows in the order in which ordered gives them, over the bounds of partitions as well.
+
+    ties and falls count neighbours whose keys are equal and fall. Each partition is checked apart and gives one row.
+    """
+    placed = ordered.select(F.col(key).alias("k"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    before = F.lag("k").over(Window.partitionBy("part").orderBy("id"))
+    count = lambda c: F.count(F.when(c, 1))
+    inside = placed.withColumn("before", before).groupBy("part").agg(F.count("*").alias("n"), count(F.col("before") == F.col("k")).alias("ties"), count(F.col("before") > F.col("k")).alias("falls"), F.min_by("k", "id").alias("first"), F.max_by("k", "id").alias("last"))
+    met = inside.withColumn("before", F.lag("last").over(Window.orderBy("part")))  # a row for each partition
+    total = lambda c, more: (F.coalesce(F.sum(c), F.lit(0)) + count(more)).alias(c)
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), total("ties", F.col("before") == F.col("first")), total("falls", F.col("before") > F.col("first")), F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last"))
+
+
 def first_base_bucket(sequence: str = "sequence") -> Column:
     """1 for C, 2 for G, 3 for T, else 0."""
     first = F.substr(F.col(sequence), F.lit(1), F.lit(1))
@@ -54,10 +68,15 @@ def block_layout(numbered: DataFrame, order: str, records: int = BLOCK_RECORDS)
     return numbered.groupBy(block.alias("block")).agg(F.count("*").alias("n_records"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
+def once(reads: DataFrame, column: Column, name: str) -> DataFrame:
+    """reads with a column that is computed once for each row, however often it is used: a filter on it is not moved below."""
+    return reads.select("*", F.explode(F.array(column)).alias(name))
+
+
 def with_key(reads: DataFrame, kind: str, **options: int) -> DataFrame:
     """reads with a derived key; those without one are dropped."""
     derive = {"prefix_kmer": keys.prefix_kmer, "minimizer": keys.minimizer}.get(kind) or keys.key(kind).derive
-    return reads.withColumn("key", derive(F.col("sequence"), **options)).where(F.col("key").isNotNull())
+    return once(reads, derive(F.col("sequence"), **options), "key").where(F.col("key").isNotNull())
 
 
 def preset(reads: DataFrame, kind: str, *payload: str, **options: int) -> DataFrame:

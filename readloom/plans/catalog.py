@@ -86,7 +86,7 @@ def _register() -> None:
     for label, chosen in fields.PROJECTIONS.items():
         names = chosen.columns()
         _add(f"project_{label}", lambda s, d, chosen=chosen: fields.project(_with_prefix(s, d), chosen), f"SELECT {', '.join(names)} FROM {_keyed(f'CAST({_prefix(31)} AS VARCHAR)') if 'key' in names else 'reads'}")
-    _add("key_scan", lambda s, d: fields.project(reads(s, d).withColumn("key", keys.prefix_kmer(C("sequence"))), fields.KEY).where("key is not null"), f"SELECT key FROM {keyed} WHERE key IS NOT NULL")
+    _add("key_scan", lambda s, d: fields.project(workflows.with_key(reads(s, d), "prefix_kmer"), fields.KEY), f"SELECT key FROM {keyed} WHERE key IS NOT NULL")
     _add("scan_total_lengths", lambda s, d: reads(s, d).agg(F.count("*").alias("n"), *(F.sum(F.length(c)).alias(f"{c}_bytes") for c in ("name", "sequence", "quality"))), "SELECT count(*) AS n, CAST(sum(length(name)) AS BIGINT) AS name_bytes, CAST(sum(length(sequence)) AS BIGINT) AS sequence_bytes, CAST(sum(length(quality)) AS BIGINT) AS quality_bytes FROM reads")
     _column("read_display", text.shown, "concat(name, chr(9), sequence, chr(9), '(', length(sequence), ' bp)')", "line")
     # predicates
@@ -134,7 +134,8 @@ def _register() -> None:
     _add("external_sort", lambda s, d: workflows.external_sort(workflows.with_key(reads(s, d), "prefix_kmer").select("key", "name", "sequence", "quality"), "key", "name"), f"SELECT key, name, sequence, quality FROM {keyed} WHERE key IS NOT NULL ORDER BY key, name")
     run = "event_id // 50"
     _add("sorted_runs", lambda s, d: workflows.sorted_runs(reads(s, d), 50, "event_id", "sequence", "event_id").select("run", C("place").cast("long").alias("place"), "event_id"), f"SELECT CAST({run} AS BIGINT) AS run, row_number() OVER (PARTITION BY {run} ORDER BY sequence, event_id) AS place, event_id FROM reads")
-    _add("sort_check", lambda s, d: workflows.sort_violations(workflows.sorted_runs(reads(s, d), 50, "event_id", "sequence", "event_id"), "run", "place", "sequence"), "SELECT CAST(0 AS BIGINT) AS violations")
+    _add("sort_check", lambda s, d: workflows.sort_report(workflows.external_sort(workflows.with_key(reads(s, d), "prefix_kmer", k=5).select("key", "name"), "key", "name"), "key"), f"SELECT count(*) AS n_rows, count(*) - count(DISTINCT key) AS ties, CAST(0 AS BIGINT) AS falls, min(key) AS first, max(key) AS last FROM {_keyed(_prefix(5))} WHERE key IS NOT NULL")
+    _add("sort_check_of_unsorted", lambda s, d: workflows.sort_violations(reads(s, d).withColumn("run", F.floor(C("event_id") / 50)), "run", "event_id", "sequence"), f"SELECT CAST(sum(CASE WHEN before > sequence THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM (SELECT sequence, lag(sequence) OVER (PARTITION BY {run} ORDER BY event_id) AS before FROM reads) AS x")
     _add("partition_first_base", lambda s, d: reads(s, d).select("event_id", workflows.first_base_bucket().cast("long").alias("bucket")), f"SELECT event_id, CAST({BUCKET} AS BIGINT) AS bucket FROM reads")
     _add("partition_prefix_kmer", lambda s, d: workflows.with_key(reads(s, d), "prefix_kmer").select("name", workflows.kmer_bucket().cast("long").alias("bucket")), f"SELECT name, CAST(key % 4 AS BIGINT) AS bucket FROM {keyed} WHERE key IS NOT NULL")
     _add("bucket_counts", lambda s, d: workflows.bucket_counts(reads(s, d), workflows.first_base_bucket().cast("long")), f"SELECT CAST({BUCKET} AS BIGINT) AS bucket, count(*) AS n_reads FROM reads GROUP BY 1")
@@ -145,6 +146,8 @@ def _register() -> None:
     _add("compaction_ratio", lambda s, d: workflows.size_report(reads(s, d), workflows.COMPACT, workflows.RAW), f"SELECT count(*) AS n_reads, CAST(sum({compact}) AS BIGINT) AS bytes, CAST(sum(length(name) + length(sequence) + length(quality)) AS BIGINT) AS bytes_against FROM reads")
     plain = "SELECT name, sequence, quality FROM reads"
     _add("spill_reload", _spill_reload, plain)
+    for n in (8, 16):
+        _add(f"dataset_keys_{n}", lambda s, d, n=n: _key_dataset(s, d, n), f"SELECT rpad(substr(hex(encode(sequence)), 1, {2 * n}), {2 * n}, '0') AS key FROM reads")
     _add("transcode_compact", _transcoded, f"SELECT name, {EXACT} AS sequence, {BINNED} AS quality FROM reads")
     _add("to_fastq", lambda s, d: to_fastq(reads(s, d)), "SELECT concat('@', name, chr(10), sequence, chr(10), '+', chr(10), quality) AS value FROM reads")
     _add("fastq_round_trip", _fastq_round_trip, plain)
@@ -166,6 +169,15 @@ def _spill_reload(s: SparkSession, d: str) -> DataFrame:
     return text.text_reads(reader(s).bytes8_key().select("name", "sequence", "quality").load(scratch.path))
 
 
+def _key_dataset(s: SparkSession, d: str, width: int) -> DataFrame:
+    """Keys without any payload written to a scratch folder and scanned alone."""
+    scratch = TempDataset(s)
+    keyed = _binary(reads(s, d)).withColumn("key", keys.prefix_bytes(C("sequence"), width))
+    writer().empty_payload().record_key(f"bytes{width}").save(keyed, scratch.path)
+    _SCRATCH.append(scratch)
+    return reader(s).empty_payload().record_key(f"bytes{width}").select("key").load(scratch.path).select(F.hex("key").alias("key"))
+
+
 def _transcoded(s: SparkSession, d: str) -> DataFrame:
     """Raw reads piped into the compact profile and read again."""
     first, second = TempDataset(s), TempDataset(s)
@@ -184,7 +196,7 @@ def _fastq_round_trip(s: SparkSession, d: str) -> DataFrame:
     return read_fastq(s, scratch.path)
 
 
-#: Scratch folders of results that are still to be read; they go when the interpreter ends.
+#: Scratch folders of results that are still to be read; they go when the interpreter or the JVM ends.
 _SCRATCH: list[TempDataset] = []
 _register()
 

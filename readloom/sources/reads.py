@@ -6,15 +6,21 @@ columns that a projection does not ask for, so a key-only scan reads the keys al
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.errors import CodecMismatch, InvalidOption, KeyMismatch, MissingKey
+from readloom.errors import CodecMismatch, InvalidOption, KeyMismatch, KeyWidth, LengthMismatch, MissingKey
 from readloom.functions import codecs, keys
-from readloom.functions.text import checked, from_bytes, text_reads, to_bytes
+from readloom.functions.text import DIFFER, checked, from_bytes, text_reads, to_bytes
 from readloom.operators.fields import ALL, Fields, fields
+from readloom.operators.workflows import BLOCK_RECORDS
 
 FIELDS = ("sequence", "quality", "name")
+#: What the run-time error of a bad key starts with.
+_KEY = "a record's key"
 OMITTED = {"sequence": "omitted", "quality": "omitted", "name": "omitted"}
 
 
@@ -68,18 +74,19 @@ class _Options:
 class ReadWriter(_Options):
     """Writes reads: binary or string columns name, sequence and quality, and a key column if, and only if, a key kind is set.
 
-    Rows whose sequence and quality differ in length fail the write, but for an omitted or empty quality; leaving out the
-    sequence leaves out the quality as well. Null fields are empty. Keys are given, never derived; a null key or one of a wrong
-    width fails the write. The rows of an empty frame give an empty dataset with its columns.
+    Rows whose sequence and quality differ in length fail the write with LengthMismatch; only a field that is left out may be
+    empty beside a longer one. Leaving out the sequence leaves out the quality as well. Null fields are empty. Keys are given,
+    never derived; a null key or one of a wrong width fails the write with KeyWidth. The rows of an empty frame give an empty
+    dataset with its columns. Blocks are the row groups of the files.
     """
 
     def __init__(self) -> None:
         super().__init__()
-        self._records = 0
+        self._records = BLOCK_RECORDS
         self._mode = "errorifexists"
 
     def target_block_records(self, n: int):
-        """At most so many records in a file; 0 leaves it to Spark."""
+        """At most so many records in a block; 0 makes every record a block."""
         if n < 0:
             raise InvalidOption("a block cannot have fewer than 0 records")
         self._records = n
@@ -104,8 +111,8 @@ class ReadWriter(_Options):
             if c in reads.columns:
                 rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(b"" if dict(reads.dtypes)[c] == "binary" else "")))
         rows = text_reads(rows)
-        if {"sequence", "quality"} <= set(rows.columns) and "omitted" not in (self._codecs["sequence"], self._codecs["quality"]):
-            rows = checked(rows)
+        if {"sequence", "quality"} <= set(rows.columns):
+            rows = checked(rows, tuple(c for c in ("sequence", "quality") if self._codecs[c] == "omitted"))
         chosen = dict(self._codecs)
         if chosen["sequence"] == "omitted":
             chosen["quality"] = "omitted"
@@ -125,13 +132,19 @@ class ReadWriter(_Options):
 
     def _keys(self, reads: DataFrame) -> Column:
         if dict(reads.dtypes)["key"] != "binary":
-            return F.when(F.col("key").isNull(), F.raise_error(F.lit("a record has no key"))).otherwise(F.col("key"))
+            return F.when(F.col("key").isNull(), F.raise_error(F.lit(f"{_KEY} is null"))).otherwise(F.col("key"))
         fine = F.length("key") == self._key.width
-        return F.when(fine, F.col("key")).otherwise(F.raise_error(F.lit(f"a record's key has not {self._key.width} bytes")))
+        return F.when(fine, F.col("key")).otherwise(F.raise_error(F.lit(f"{_KEY} has not {self._key.width} bytes")))
 
     def save(self, reads: DataFrame, path: str) -> None:
-        writer = self.frame(reads).write.mode(self._mode)
-        (writer.option("maxRecordsPerFile", self._records) if self._records else writer).parquet(path)
+        writer = self.frame(reads).write.mode(self._mode).option("parquet.block.row.count.limit", max(1, self._records))
+        try:
+            writer.parquet(path)
+        except PySparkException as fault:
+            for text, kind in ((DIFFER, LengthMismatch), (_KEY, KeyWidth)):
+                if found := re.search(f"{text}[^\\n]*", str(fault)):
+                    raise kind(found[0]) from fault
+            raise
 
 
 class ReadReader(_Options):

@@ -10,7 +10,7 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.errors import DestinationExists
+from readloom.errors import DestinationExists, InvalidOption
 
 
 def _files(spark: SparkSession, path: str):
@@ -33,13 +33,20 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 class TempDataset:
     """A scratch folder on any file system of Spark's.
 
-    Without a parent it lies in the shared folder of spark.checkpoint.dir, or where that is unset in the local temporary folder.
-    A missing folder is fine to clean up, cleaning up twice as well, and after ``persist`` it does nothing.
+    Without a parent it lies in the shared folder of spark.checkpoint.dir, or where that is unset, on one machine only, in its
+    temporary folder. A missing folder is fine to clean up, cleaning up twice as well, and after ``persist`` it does nothing. What
+    is not cleaned up goes with the JVM.
     """
 
     def __init__(self, spark: SparkSession, parent: str | None = None):
-        parent = parent or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        parent = parent or spark.conf.get("spark.checkpoint.dir", None)
+        if parent is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise InvalidOption("spark.checkpoint.dir names no folder that all executors share")
+            parent = tempfile.gettempdir()
         self._spark, self.path, self._kept = spark, os.path.join(parent, f"readloom-{uuid.uuid4().hex}"), False
+        fs, place = _files(spark, self.path)
+        fs.deleteOnExit(place)
         self._final = weakref.finalize(self, _remove_quietly, spark, self.path)
 
     def write(self, frame: DataFrame) -> None:

@@ -110,7 +110,7 @@ def test_registries():
     with pytest.raises(errors.InvalidOption):
         codecs.codec("sequence", "nope")
     with pytest.raises(errors.InvalidOption):
-        keys.register(keys.Key("bytes8", "another-tag-16by", 8))
+        keys.register(keys.Key("bytes8", 8, given_tag="another-tag-16by"))
     with pytest.raises(errors.InvalidOption):
         keys.prefix_kmer(None, 33)
 
@@ -175,9 +175,18 @@ def test_omitted_fields_are_empty_and_take_no_column(spark, reads, tmp_path):
 
 def test_write_errors(spark, reads, tmp_path):
     bad = spark.createDataFrame([(b"bad", b"ACGT", b"!!!")], "name binary, sequence binary, quality binary")
-    with pytest.raises(Exception, match="differ in length"):
+    with pytest.raises(errors.LengthMismatch, match="differ in length: 4 and 3"):
         writer().save(bad, str(tmp_path / "a"))
-    with pytest.raises(Exception, match="8 bytes"):
+    none = bad.withColumn("quality", F.lit(b""))
+    for n, make in enumerate((writer, lambda: writer().quality_codec("binned"), lambda: writer().omit_names())):
+        with pytest.raises(errors.LengthMismatch, match="4 and 0"):
+            make().save(none, str(tmp_path / f"n{n}"))
+    with pytest.raises(errors.LengthMismatch):  # both are there, though one is not kept
+        writer().omit_quality().save(bad, str(tmp_path / "o"))
+    writer().omit_quality().save(none, str(tmp_path / "p"))
+    with pytest.raises(RuntimeError):
+        writer().bytes8_key().save(none.withColumn("quality", F.lit(b"!!!!")).withColumn("key", F.lit(None).cast("binary")), str(tmp_path / "q"))
+    with pytest.raises(errors.KeyWidth, match="8 bytes"):
         writer().bytes8_key().save(bad.withColumn("quality", F.lit(b"!!!!")).withColumn("key", F.lit(b"short")), str(tmp_path / "b"))
     with pytest.raises(errors.MissingKey):
         writer().save(reads, str(tmp_path / "c"))
@@ -194,10 +203,47 @@ def test_empty_dataset(spark, reads, tmp_path):
     assert reader(spark).bytes8_key().load(str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("n, groups", [(None, [40]), (7, [7, 7, 7, 7, 7, 5]), (0, [1] * 40)])
+def test_blocks_are_row_groups(reads, tmp_path, n, groups):
+    import pyarrow.parquet as pq
+
+    w = writer().bytes8_key()
+    (w if n is None else w.target_block_records(n)).save(reads.coalesce(1), str(tmp_path / "x"))
+    (path,) = (tmp_path / "x").glob("*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == groups
+
+
+def test_long_reads_are_packed_in_linear_time(spark):
+    import time
+
+    rnd = random.Random(2)
+    frame = spark.createDataFrame([(i, "".join(rnd.choice("ACGTN") if j % 50 == 0 else rnd.choice("ACGT") for j in range(8000))) for i in range(64)], "i int, sequence string").coalesce(1)
+    start = time.perf_counter()
+    got = frame.select("sequence", codecs.codec("sequence", "two_bit_exact").round_trip(F.col("sequence")).alias("again")).collect()
+    assert all(r.sequence == r.again for r in got) and time.perf_counter() - start < 20
+
+
+def test_keys_are_derived_once(spark):
+    from readloom.plans.catalog import queries
+
+    for name in ("key_scan", "keyed_reads", "external_sort"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5") <= 9
+
+
+def test_sort_report(spark):
+    frame = spark.createDataFrame([(i * 7 % 50,) for i in range(100)], "k int").repartition(5)
+    assert tuple(workflows.sort_report(workflows.external_sort(frame, "k"), "k").first()) == (100, 50, 0, 0, 49)
+    worse = workflows.sort_report(spark.range(9).select((8 - F.col("id")).alias("k")).repartitionByRange(1, "k").sortWithinPartitions(F.desc("k")), "k").first()
+    assert (worse.n_rows, worse.falls, worse.first, worse.last) == (9, 8, 8, 0)
+    assert workflows.sort_report(frame.limit(0), "k").first().n_rows == 0
+
+
 def test_custom_codec_and_key(spark, reads, tmp_path):
     if ("quality", "reversed") not in codecs._CODECS:
-        codecs.register(codecs.Codec("quality", "reversed", "test:qual:revers", F.reverse, F.reverse, F.length))
-        keys.register(keys.Key("twelve", "test:key:twelve!", 12))
+        codecs.register(codecs.Codec("quality", "reversed", F.reverse, F.reverse, F.length, given_tag="test:qual:revers"))
+        keys.register(keys.Key("twelve", 12, given_tag="test:key:twelve!"))
     frame = reads.withColumn("key", F.rpad("key", 12, b"x"))
     path = str(tmp_path / "custom")
     writer().quality_codec("reversed").record_key("twelve").save(frame, path)
