@@ -218,37 +218,29 @@ def _own(differing: list[np.ndarray]) -> np.ndarray:
 
 
 def similar_pairs(nodes: DataFrame, distance: int = SIMILAR_DISTANCE) -> DataFrame:
-    """(a, b): pairs of the nodes (node, root, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit.
-
-    Each pair is taken in one bucket only. Pairs of one root are left out. Where no roots are known yet, all null, each node of a
-    bucket is paired with only the next one there, so that a bucket gives no more pairs than it has nodes.
-    """
-    names = [c for c in nodes.columns if c not in ("node", "root")]
+    """(a, b): all pairs of the nodes (node, f0, f1, ...) within distance bits that agree in a 16-bit segment but for at most one bit, each once."""
+    names = [c for c in nodes.columns if c != "node"]
     v = F.col("v")
     part = F.expr(f"shiftright(array({', '.join(names)})[cast(v / 64 as int)], 16 * (cast(v / 16 as int) % 4)) & 65535L & ~shiftleft(1L, v % 16)")
-    keyed = nodes.select("node", F.coalesce("root", F.lit(-1).cast("long")).alias("root"), *names, F.explode(F.sequence(F.lit(0), F.lit(64 * len(names) - 1))).alias("v"))
-    keyed = keyed.select((v * 65536 + part.cast("int")).alias("key"), "node", "root", *names)
+    keyed = nodes.select("node", *names, F.explode(F.sequence(F.lit(0), F.lit(64 * len(names) - 1))).alias("v")).select((v * 65536 + part.cast("int")).alias("key"), "node", *names)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def close(keys: np.ndarray, node: np.ndarray, root: np.ndarray, *signed: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prints = [p.view(np.uint64) for p in signed]
+    def close(keys: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, lag = np.flatnonzero(keys[1:] == keys[:-1]), 1
         while len(at):
             differing = [p[at] ^ p[at + lag] for p in prints]
             near = sum(np.bitwise_count(d).astype(np.int32) for d in differing) <= distance
-            near &= (root[at] != root[at + lag]) | (root[at] < 0)
             if near.any():
                 i = at[near]
                 i = i[_own([d[near] for d in differing]) == keys[i] >> 16]
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i + lag])], ["a", "b"])
-                at = np.setdiff1d(at, i[root[i] < 0], assume_unique=True)
             lag += 1
             at = at[at + lag < len(keys)]
             at = at[keys[at] == keys[at + lag]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_runs(batches):
-            yield from close(*columns)
+        for keys, node, *signed in whole_runs(batches):
+            yield from close(keys, node, *(p.view(np.uint64) for p in signed))
 
     return cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
 
@@ -271,21 +263,12 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, shingle: in
 
 
 def similar_classes(docs: DataFrame, key: str, text: str = "text", shingle: int = SIMILAR_SHINGLE, share: tuple = SIMILARITY, prints: int = PRINTS, distance: int = SIMILAR_DISTANCE) -> DataFrame:
-    """(key, first): first is the least key among the rows that equal sets of shingles and verified pairs reach. Keys are distinct longs.
-
-    Pairs are verified in two rounds: first each node with its neighbours in the buckets, which joins most of a large group of
-    near copies; then all other candidates that the links found so far have not joined. The classes are those of all candidates.
-    """
+    """(key, first): first is the least key among the rows that equal sets of shingles and verified pairs reach. Keys are distinct longs."""
     marked = cut(_marks(docs, key, text, shingle, prints))
     names = [f"f{i}" for i in range(prints)]
     nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), *(F.min(f).alias(f) for f in names)))
-    rooted = lambda edges: nodes.join(components(edges).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of")
-    check = lambda pairs: cut(verified(pairs, docs, key, text, shingle, share))
-    unknown = nodes.select("node", F.lit(None).cast("long").alias("root"), *names)
-    links = check(similar_pairs(unknown, distance))
-    known = rooted(links).select("node", F.coalesce("root", "node").alias("root"), *names)
-    links = links.union(check(similar_pairs(known, distance)))
-    named = rooted(links).select("digest", F.coalesce("root", "node").alias("first"))
+    roots = components(verified(similar_pairs(nodes.drop("digest"), distance), docs, key, text, shingle, share)).withColumnRenamed("node", "of")
+    named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("root", "node").alias("first"))
     return marked.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "first")
 
 
