@@ -432,7 +432,7 @@ def suffixes(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -> It
                 part["pos"] = place[max(1, i - PIECE + 1) : i + 1][::-1]
                 order.put(part)
         else:
-            for part in _small(reduced, names_depth) if m * 64 <= held else suffixes(reduced, count + 1, names_depth, held):
+            for part in _small(reduced, names_depth) if m * 16 <= held else suffixes(reduced, count + 1, names_depth, held):
                 order.put(part)
     else:
         order = Log(ENTRY, held)

@@ -27,7 +27,7 @@ WIDTH, GRAM = 100, 24
 #: Bytes of text in a block, and of text whose grams are hashed at once.
 BLOCK, STEP = 6 << 20, 1 << 20
 #: Bytes of fragments that are sorted at once, but for larger buckets.
-SHARD = 4 << 20
+SHARD = 2 << 20
 FRAGMENT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("first", "<i8"), ("size", "<i8")])
 #: A null doc_id comes after all others.
 LAST = (1 << 63) - 1
@@ -38,7 +38,9 @@ def anchors(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     """(hash, place) of the anchor of each window of data."""
     n = len(data) - GRAM + 1
     part = lambda at: np.ndarray((n,), "<u8", data, at, (1,))
-    h = part(0) * np.uint64(0x9E3779B97F4A7C15) ^ part(8) * np.uint64(0xC2B2AE3D27D4EB4F) ^ part(16) * np.uint64(0x165667B19E3779F9)
+    h = part(0) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(8, GRAM, 8):
+        h = (h ^ h >> np.uint64(29) ^ part(at)) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     # least hash over each window by running minima of stretches as long as it, the leftmost of ties
