@@ -58,12 +58,6 @@ def _bags(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
 
 
-def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Means of consecutive, non-empty runs of rows."""
-    starts = np.append(0, ends[:-1])
-    return np.add.reduceat(values, starts, axis=0) / (ends - starts).reshape(-1, *[1] * (values.ndim - 1))
-
-
 def bag(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, distinct windows as places of words, how often each window is there) of a whole text; a window at every word, -1 beyond a shorter text."""
     place: dict[str, int] = {}
@@ -94,7 +88,8 @@ def train(texts: Iterable[tuple[float, list[str], np.ndarray, np.ndarray]], stan
         return np.zeros(BUCKETS, np.float32), 4.0 if labels.any() else -4.0
     grams, gram_ends = _bags(list(place))
     gram_starts = np.append(0, gram_ends[:-1])
-    emb, weights, bias = rng.normal(0, 0.1, (BUCKETS, SIZE)), rng.normal(0, 1, (SIZE, 2)), np.array([2.0, -2.0])  # toxic texts are rare, and one without words isn't
+    emb, weights = rng.normal(0, 0.1, (BUCKETS, SIZE)).T.astype(np.float32), rng.normal(0, 1, (SIZE, 2)).astype(np.float32)
+    bias = np.array([2.0, -2.0])  # toxic texts are rare, and one without words isn't
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, weights)]
     weight = np.where(labels > 0, stands[1], stands[0])
     weight = weight / weight.mean()
@@ -115,10 +110,10 @@ def train(texts: Iterable[tuple[float, list[str], np.ndarray, np.ndarray]], stan
             of[words] = np.arange(len(words))
             counts = gram_ends[words] - gram_starts[words]
             word_ends = np.cumsum(counts)
-            buckets = grams[np.arange(word_ends[-1]) - np.repeat(word_ends - counts - gram_starts[words], counts)]
-            vectors = _means(emb[buckets], word_ends)
+            buckets = grams.take(np.arange(word_ends[-1]) - np.repeat(word_ends - counts - gram_starts[words], counts)).astype(np.intp)
+            vectors = np.stack([np.add.reduceat(e.take(buckets), word_ends - counts) for e in emb]) / counts
             lean = weights[:, 1] - weights[:, 0]
-            each = (vectors @ lean)[of[tokens]] * there
+            each = (lean @ vectors)[of[tokens]] * there
             length = there.sum(axis=1)
             margin = each.sum(axis=1) / length + bias[1] - bias[0]
             # at first all windows stand for their text alike, in the end the most toxic ones
@@ -130,13 +125,13 @@ def train(texts: Iterable[tuple[float, list[str], np.ndarray, np.ndarray]], stan
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * margin, first), -30, 30)))
             d = ((p - labels[batch]) * weight[batch] / len(batch))[doc] * pull / length
             d_word = np.bincount(of[tokens[there]], np.repeat(d, length), len(words))
-            grad_w = np.outer(vectors.T @ d_word, [-1.0, 1.0])
-            grad_e = np.outer(np.bincount(buckets, np.repeat(d_word / counts, counts), BUCKETS), lean)
+            grad_w = np.outer(vectors @ d_word, [-1.0, 1.0]).astype(np.float32)
+            grad_e = np.outer(lean, np.bincount(buckets, np.repeat(d_word / counts, counts), BUCKETS).astype(np.float32))
             for x, g, (m, v) in zip((emb, weights), (grad_e, grad_w), moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return (emb @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                x -= np.float32(RATE / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+    return ((weights[:, 1] - weights[:, 0]) @ emb).astype(np.float32), float(bias[1] - bias[0])
 
 
 class WordScores(dict):
