@@ -37,13 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's switch for removing the shuffle files of a query when it ends, rather than when its plan is garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation."""
+    """Write df to the shared folder and go on from there, so that a lost executor costs no recomputation.
+
+    The shuffle files behind it are not needed any more and go at once.
+    """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
