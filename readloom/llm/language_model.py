@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, cut, rows_digest, utf8
 from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, totals, unframed, unpack_sorted, unsqueeze
 
-ORDER, MAX_ORDER = 2, 8
+ORDER, MAX_ORDER = 3, 8
 #: Bytes of text in a block: it bounds the automaton that one task holds.
 BLOCK = 6 << 20
 #: The token that ends every text; no word contains white space.
