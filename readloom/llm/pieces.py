@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +216,17 @@ class Encoder:
             known[word] = np.array(out, "<u4").tobytes()
 
 
+def _encoded(encoder: Encoder, texts: list[bytes]) -> Iterator[bytes]:
+    """The ids of each text as little-endian 32-bit numbers; the distinct words of all texts are searched together."""
+    words = [encoder.model.words(t.decode("utf-8", "replace")) for t in texts]
+    encoder.learn({w for x in words for w in x})
+    return (b"".join(map(encoder.known.__getitem__, w)) for w in words)
+
+
+def _decoded(model: PieceModel, ids: bytes | None) -> bytes:
+    return model.decode(np.frombuffer(ids or b"", "<u4").tolist())
+
+
 ENCODED = "doc_id long, n_bytes long, n_ids long, ids binary"
 
 
@@ -227,10 +239,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(PieceModel.load(model_path))
         for _, ids, texts in blocks(batches):
-            words = [encoder.model.words(t.decode("utf-8", "replace")) for t in texts]
-            encoder.learn({w for x in words for w in x})
+            coded = _encoded(encoder, texts)
             for at in range(0, len(ids), 512):
-                out = [b"".join(map(encoder.known.__getitem__, w)) for w in words[at : at + 512]]
+                out = list(islice(coded, 512))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.array(list(map(len, texts[at : at + 512])), pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_bytes", "n_ids", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), utf8()).mapInArrow(run, ENCODED)
@@ -244,7 +255,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [model.decode(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
+                texts = [_decoded(model, x).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -259,12 +270,7 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(PieceModel.load(model_path))
         for _, ids, texts in blocks(batches):
-            words = [encoder.model.words(t.decode("utf-8", "replace")) for t in texts]
-            encoder.learn({w for x in words for w in x})
-            out = []
-            for doc_id, text, own in zip(ids, texts, words):
-                got = b"".join(map(encoder.known.__getitem__, own))
-                out.append((doc_id, len(text), len(got) // 4, zlib.crc32(got), encoder.model.decode(np.frombuffer(got, "<u4").tolist()) == text))
+            out = [(doc_id, len(text), len(got) // 4, zlib.crc32(got), _decoded(encoder.model, got) == text) for doc_id, text, got in zip(ids, texts, _encoded(encoder, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.bool_()], strict=True)], ["doc_id", "n_bytes", "n_ids", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), utf8()).mapInArrow(run, "doc_id long, n_bytes long, n_ids long, ids_crc32 long, round_trip boolean")
