@@ -194,6 +194,20 @@ def test_toxicity_of_unseen_spellings(spark):
     assert {i for i in got if got[i].held_out} == {i for i in got if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_toxicity_scores_depend_on_texts_and_training_labels_alone(spark):
+    """Neither labels of held-out rows nor lang, source or other ids change a score."""
+    rng = np.random.default_rng(4)
+    rows = list(toxic_rows(300, 0, ["blagghoker", "vumpazoid"], rng))
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    docs = spark.createDataFrame([(i, t, "en", "src1") for i, t, _ in rows], "doc_id long, text string, lang string, source string")
+    other = spark.createDataFrame([(i, t, f"l{i}", f"s{i * y}") for i, t, y in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    turned = spark.createDataFrame([(i, 1 - y if h else y) for (i, _, y), h in zip(rows, held)], "doc_id long, toxic int")
+    assert any(held)
+    scores = [{r.doc_id: r.score for r in toxicity.classify(d, y).collect()} for d, y in ((docs, labels), (other, labels), (docs, turned))]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_toxicity_keeps_the_class_ratio_of_all_labels(spark):
     docs = spark.createDataFrame([(i, "maybe so") for i in range(1200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1200)], "doc_id long, toxic int")
@@ -225,3 +239,4 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert toxicity.classify(odd.limit(0), labels).collect() == []
     assert toxicity.keep_civil(odd, labels.limit(0)).count() == len(ODD)
     assert toxicity.keep_civil(odd, labels.limit(0)).columns == odd.columns
+    assert toxicity.keep_civil(odd.limit(0), labels).collect() == []

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.llm import induced, matroska, packing, pieces, simhash, suffix_dedup, token_counts
+from readloom.llm.common import cut
 from readloom.llm.components import components
 from readloom.llm.queries import vocabulary
 
@@ -76,7 +77,7 @@ def test_pipeline_drops_near_copies_by_shingles(spark):
     assert 12 < len(set(first)) < len(texts)
     prints = [fingerprint(t) for t in texts]
     assert len(set(groups(prints, lambda a, b: (a ^ b).bit_count() <= 2))) > len(set(first))  # two bits miss some
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    frame = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     assert {r.doc_id for r in corpus_pipeline.unlike(spark, frame, "").collect()} == set(first)
 
 
@@ -193,7 +194,7 @@ def repetitive(seed):
 def test_suffix_dedup(spark, sample, odd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
     monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
-    made = spark.createDataFrame(list(enumerate(repetitive(4))), "doc_id long, text string").repartition(4).localCheckpoint()
+    made = cut(spark.createDataFrame(list(enumerate(repetitive(4))), "doc_id long, text string").repartition(4))
     for frame in (made, sample[0]):
         rows = sorted(pairs(frame))
         want = dict(zip((k for k, _ in rows), without_repeats([t for _, t in rows])))
@@ -256,6 +257,14 @@ def test_media_columns(spark, odd):
     want = sorted((str(k), len(b := (t or "").encode()), hashlib.sha256(p := b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")).hexdigest(), zlib.crc32(p[-64:])) for k, t in pairs(odd))
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     media = matroska.to_media(odd)
+    files = sorted((str(r.doc_id), len(r.media), hashlib.sha256(r.media).hexdigest()) for r in media.collect())
+    assert sorted((str(r.doc_id), r.media_bytes, r.media_sha256) for r in got) == files
+    features = {r.payload_sha256: dict(x.split("=") for x in r.feature.split(";")) for r in got}
+    for _, text in pairs(odd):
+        payload = (b := (text or "").encode()).ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        f, frames = features[hashlib.sha256(payload).hexdigest()], -(-len(payload) // 512)
+        assert (int(f["low"]), int(f["high"]), f["mean"]) == (min(payload), max(payload), f"{sum(payload) / len(payload):.4f}")
+        assert (int(f["packets"]), int(f["last_ns"]), f["tracks"]) == (frames, 64_000_000 * (frames - 1), "1")
     total = matroska.packets(media).agg(F.sum("size")).first()[0]
     assert total == sum(r.payload_bytes for r in got)
     assert matroska.cues(media).count() == sum(r.n_cues for r in got)
@@ -310,6 +319,8 @@ def test_pieces(sample, odd):
         coded = pieces.encode(frame, path)
         want = sorted((str(k), len((t or "").encode()), np.array(library.encode(t or ""), "<u4").tobytes()) for k, t in pairs(frame))
         assert sorted((str(r.doc_id), r.n_bytes, bytes(r.ids)) for r in coded.collect()) == want
+        trips = [(str(r.doc_id), r.n_bytes, r.n_ids, r.ids_crc32) for r in pieces.round_trips(frame, path).collect()]
+        assert sorted(trips) == sorted((k, n, len(ids) // 4, zlib.crc32(ids)) for k, n, ids in want)
         texts = sorted((str(r.doc_id), r.text) for r in pieces.decode(coded, path).collect())
         assert texts == sorted((str(k), (t or "").replace("▁", " ")) for k, t in pairs(frame))
         assert {r.round_trip for r in pieces.round_trips(frame, path).collect() if "▁" not in (dict(pairs(frame)).get(r.doc_id) or "")} == {True}
@@ -363,5 +374,18 @@ def test_pipeline(spark, sample, tmp_path):
     assert os.listdir(os.path.dirname(place)) == [os.path.basename(place)]  # nothing else is left of the run
 
 
+def test_pipeline_of_nothing(spark, odd, sample, tmp_path):
+    """Empty tables, and tables of odd rows, go through all stages."""
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"none": spark.createDataFrame([], kinds), "odd": odd.select("doc_id", "text", "source", "n_chars")}
+    for name, docs in tables.items():
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        sample[1].limit(0 if name == "none" else 100).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
+
+
 def in_order(pieces_):
     return sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces_.collect())
