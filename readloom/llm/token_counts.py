@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,25 +17,38 @@ from pyspark.sql import functions as F
 from readloom.llm.common import blocks, bucket_count, rows_digest, utf8
 from readloom.llm.exchange import REQUESTS, answer, by_bucket, meet, request_batch, squeeze, tabled, unsqueeze
 
-#: Fixed value: the split of byte-level BPE into pre-tokens.
-PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes are the same in all versions of Unicode; other texts are cut by the tokenizer itself.
-SETTLED = r"[\t\n\r\x20-\x7e\xa1-ɏ]*"
+SETTLED = "\t\n\r" + "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250)]))
+
+
+def _class(kind: str) -> str:
+    """The settled characters of a general category, as ranges of a character class."""
+    runs: list[list[int]] = []
+    for x in (ord(c) for c in SETTLED if unicodedata.category(c)[0] == kind):
+        if runs and runs[-1][1] == x - 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+LETTERS, NUMBERS = _class("L"), _class("N")
+#: Fixed value: the split of byte-level BPE into pre-tokens.
+PRE_TOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 
 
 class PreTokens:
     """Cuts texts into the pre-tokens of a byte-level tokenizer; a special token is one of its own."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PRE_TOKENS)
-        self.settled = regex.compile(SETTLED)
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.cut = re.compile(PRE_TOKENS)
+        self.settled = re.compile(f"[{re.escape(SETTLED)}]*")
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _plain(self, text: str) -> list[str]:
         if self.settled.fullmatch(text):
