@@ -3,8 +3,9 @@
 Suffixes that start a rising stretch after a falling one (LMS suffixes) are sorted by recursion, and two sweeps in suffix order
 induce all others from them. A sweep takes suffix tuples from a priority queue by symbol; each puts the suffix before it into
 the queue. A tuple carries its position, the length of its common prefix with the tuple that came before it under the same
-symbol, the run of its first symbol, and the symbols before it, so a sweep reads the text but once every few steps. The order of
-the LMS substrings comes from the same two sweeps over unsorted seeds, and their names follow from common prefixes alone.
+symbol, the run of its first symbol, and the symbols before it, so a sweep reads the text but once every few steps. LMS
+substrings are named by sorting them a few symbols at a time, or, where they are too many to be held in memory, by the same two
+sweeps over unsorted seeds: their order and their common prefixes give the names.
 
 Queues, logs and tables are on disk beyond a bound on what they hold in memory; the files are unlinked ones of the task. Many
 small symbols are taken in one step, as long as none of them gets new tuples by it.
@@ -21,6 +22,8 @@ import numpy as np
 HELD = 16 << 20
 #: Tuples that one step of a sweep takes at most.
 PIECE = 1 << 16
+#: Runs of a queue after which the youngest are merged.
+RUNS = 24
 #: Symbols before a suffix that a tuple carries.
 CARRIED = 4
 NEVER, TOP = -1, np.iinfo(np.int64).max
@@ -88,16 +91,22 @@ class Queue:
         if not len(symbols):
             return
         order = np.argsort(symbols, kind="stable")
-        symbols, tuples = symbols[order], tuples[order]
-        while self.runs:
-            s, t, at = self.runs[-1]
-            if len(s) - at > 2 * len(symbols) or (len(s) - at + len(symbols)) * 40 > self.held:
+        self.runs.append(self._run(symbols[order], tuples.take(order)))
+        if len(self.runs) > RUNS:
+            self._merge()
+
+    def _merge(self) -> None:
+        """Make one of the youngest runs, as many as may be held in memory, but not of one that is larger than all of these."""
+        k, size = 0, 0
+        for s, _, at in reversed(self.runs):
+            if (size + len(s) - at) * 32 > self.held or k > RUNS // 2 and len(s) - at > size:
                 break
-            self.runs.pop()
-            symbols, tuples = np.concatenate([s[at:], symbols]), np.concatenate([t[at:], tuples])
+            k, size = k + 1, size + len(s) - at
+        if k > 1:
+            some, self.runs = self.runs[-k:], self.runs[:-k]
+            symbols, tuples = np.concatenate([s[at:] for s, _, at in some]), np.concatenate([t[at:] for _, t, at in some])
             order = np.argsort(symbols, kind="stable")
-            symbols, tuples = symbols[order], tuples[order]
-        self.runs.append(self._run(symbols, tuples))
+            self.runs.append(self._run(symbols[order], tuples.take(order)))
 
     def back(self, symbols: np.ndarray, tuples: np.ndarray) -> None:
         """Put sorted tuples back that were taken last."""
@@ -132,7 +141,7 @@ class Queue:
         symbols, tuples = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         if most is None:
             order = np.argsort(symbols, kind="stable")
-            symbols, tuples = symbols[order], tuples[order]
+            symbols, tuples = symbols[order], tuples.take(order)
         return symbols, tuples
 
 
@@ -222,7 +231,7 @@ class Sweep:
             return entries["symbol"], fresh, np.zeros(len(entries), bool)
         both = np.concatenate([symbols, entries["symbol"]])
         order = np.argsort(both, kind="stable")
-        return both[order], np.concatenate([tuples, fresh])[order], order < len(symbols)
+        return both[order], np.concatenate([tuples, fresh]).take(order), order < len(symbols)
 
     def __call__(self, stream: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(entries, whether each was induced, whether each is an LMS suffix) in the order of the sweep; an entry's lcp is the one with the entry before."""
@@ -284,7 +293,7 @@ class Sweep:
         self.step += n
 
         new = np.zeros(len(order), TUPLE)
-        from_ = tuples[order]
+        from_ = tuples.take(order)
         new["pos"], new["ahead"] = from_["pos"] - 1, from_["ahead"] >> np.uint64(self.bits)
         new["lcp"] = shared
         new["run"] = np.where(t == symbols[order], np.minimum(self.depth, from_["run"] + 1), 1)
@@ -339,21 +348,28 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, d
 
 
 def _small(text: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """What ``suffixes`` gives, for a text that fits in memory: ranks of doubled length."""
+    """What ``suffixes`` gives, for a text that fits in memory: ranks of doubled length, which give the common prefixes as well."""
     rank, k = np.asarray(text).astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
     rank[order] = np.append(0, np.cumsum(rank[order[1:]] != rank[order[:-1]]))
+    ranks = [rank.astype(np.int32)]
     while k < min(depth, len(rank)) and rank[order[-1]] + 1 < len(rank):
         after = np.append(rank[k:], np.full(min(k, len(rank)), NEVER))[: len(rank)]
         order = np.argsort(rank * (len(rank) + 1) + after + 1, kind="stable")
         changed = (rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]])
-        rank = rank.copy()
+        rank = np.empty_like(rank)
         rank[order] = np.append(0, np.cumsum(changed))
+        ranks.append(rank.astype(np.int32))
         k *= 2
     order = order[order < len(rank) - 1]
+    a, b, common = order[1:], order[:-1], np.zeros(max(0, len(order) - 1), np.int64)
+    for level in range(len(ranks) - 1, -1, -1):  # the last suffix, a symbol of its own, ends every common prefix
+        live = np.flatnonzero(np.maximum(a, b) + common < len(rank) - 1)
+        live = live[ranks[level][a[live] + common[live]] == ranks[level][b[live] + common[live]]]
+        common[live] += 1 << level
     out = np.zeros(len(order), ENTRY)
     out["pos"] = order[::-1]
-    out["lcp"][1:] = _common(text, order[1:], order[:-1], np.zeros(len(order) - 1, np.int64), depth)[::-1]
+    out["lcp"][1:] = np.minimum(common, depth)[::-1]
     yield out
 
 
@@ -382,6 +398,68 @@ def _induce(text: np.ndarray, symbols: int, depth: int, seeds: Iterator[np.ndarr
         yield entries, starts
 
 
+def _sorted_names(text: np.ndarray, starts: np.ndarray, symbols: int, depth: int, held: int) -> tuple[np.ndarray, int]:
+    """(the name of each LMS substring in the order of the text, 0 for the last suffix; how many there are), in memory.
+
+    What follows the end of a substring counts as greater than any symbol: a longer substring falls where the shorter one ends.
+    """
+    starts = np.asarray(starts)
+    pos, size = starts[:-1], np.diff(starts) + 1
+    bits = int(symbols).bit_length()
+    step = max(1, 63 // bits)
+    rank, live, at = np.zeros(len(pos), np.int64), np.arange(len(pos)), 0
+    while len(live) and at < depth:
+        first, long = pos[live], size[live]
+        key = np.zeros(len(live), np.int64)
+        for k in range(at, at + step):
+            key = key << bits | np.where(k < long, text[np.minimum(first + k, len(text) - 1)], symbols)
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        old = rank[live]
+        run = np.append(True, old[1:] != old[:-1])
+        group = run | np.append(True, key[1:] != key[:-1])
+        place = np.arange(len(live))
+        start = np.maximum.accumulate(np.where(group, place, 0))
+        rank[live] = old + start - np.maximum.accumulate(np.where(run, place, 0))
+        many = np.bincount(start, minlength=len(live))[start] > 1
+        at += step
+        live = live[many & (size[live] > at)]
+    kinds, names = np.unique(rank, return_inverse=True)
+    return np.append(names + 1, 0), len(kinds)
+
+
+def _induced_names(text: np.ndarray, starts: np.ndarray, symbols: int, depth: int, held: int) -> tuple[np.ndarray, int]:
+    """What ``_sorted_names`` gives, by sweeps over seeds that are sorted by their first symbol alone."""
+    m = len(starts)
+    names = table(len(text) // 2 + 1, "<i8", held)  # at half the place of an LMS suffix, as no two are neighbours
+    count, last_pos, low = 0, None, depth
+    for entries, is_start in _induce(text, symbols, depth, _rough(text, starts, held), held):
+        at = np.flatnonzero(is_start)
+        if not len(at):
+            low = min(low, int(entries["lcp"].min())) if len(entries) else low
+            continue
+        least = np.minimum.reduceat(entries["lcp"][: at[-1] + 1], np.append(0, at[:-1] + 1)).astype(np.int64)  # since the LMS suffix before
+        least[0] = min(least[0], low)
+        pos = entries["pos"][at]
+        index = np.searchsorted(starts, pos)
+        size = np.asarray(starts[index + 1]) - pos + 1
+        if last_pos is None:
+            same = np.zeros(len(pos), bool)
+            same[1:] = (least[1:] >= depth) | (least[1:] == size[1:]) & (size[1:] == size[:-1])
+        else:
+            old = np.append(last_pos, size[:-1])
+            same = (least >= depth) | (least == size) & (size == old)
+        names[pos >> 1] = count + np.cumsum(~same)
+        count = int(names[pos[-1] >> 1])
+        last_pos = int(size[-1])
+        low = int(entries["lcp"][at[-1] + 1 :].min()) if at[-1] + 1 < len(entries) else depth
+    reduced = table(m, "<i8", held)
+    for i in range(0, m - 1, PIECE):
+        j = min(m - 1, i + PIECE)
+        reduced[i:j] = count + 1 - names[np.asarray(starts[i:j]) >> 1]
+    return reduced, count
+
+
 def suffixes(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -> Iterator[np.ndarray]:
     """The suffixes of text from the greatest to the least, as entries whose lcp is the common prefix with the one before, up to depth.
 
@@ -392,34 +470,9 @@ def suffixes(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -> It
     n = len(text)
     starts = lms(text, held)
     m = len(starts)
-    names = table(n // 2 + 1, "<i8", held)  # at half the place of an LMS suffix, as no two are neighbours
     if m > 1:
-        rough = np.lexsort((text[starts],)) if m * 40 <= held else None
-        count, last_pos, low = 0, None, depth
-        for entries, is_start in _induce(text, symbols, depth, _rough(text, starts, symbols, rough, held), held):
-            at = np.flatnonzero(is_start)
-            if not len(at):
-                low = min(low, int(entries["lcp"].min())) if len(entries) else low
-                continue
-            least = np.minimum.reduceat(entries["lcp"][: at[-1] + 1], np.append(0, at[:-1] + 1)).astype(np.int64)  # since the LMS suffix before
-            least[0] = min(least[0], low)
-            pos = entries["pos"][at]
-            index = np.searchsorted(starts, pos)
-            size = np.asarray(starts[index + 1]) - pos + 1
-            if last_pos is None:
-                same = np.zeros(len(pos), bool)
-                same[1:] = (least[1:] >= depth) | (least[1:] == size[1:]) & (size[1:] == size[:-1])
-            else:
-                old = np.append(last_pos, size[:-1])
-                same = (least >= depth) | (least == size) & (size == old)
-            names[pos >> 1] = count + np.cumsum(~same)
-            count = int(names[pos[-1] >> 1])
-            last_pos = int(size[-1])
-            low = int(entries["lcp"][at[-1] + 1 :].min()) if at[-1] + 1 < len(entries) else depth
-        reduced = table(m, "<i8", held)
-        for i in range(0, m - 1, PIECE):
-            j = min(m - 1, i + PIECE)
-            reduced[i:j] = count + 1 - names[np.asarray(starts[i:j]) >> 1]
+        small = m * 16 <= held
+        reduced, count = (_sorted_names if small else _induced_names)(text, starts, symbols, depth, held)
         order = Log(ENTRY, held)
         names_depth = depth // 2 + 1
         if count == m - 1:
@@ -432,7 +485,7 @@ def suffixes(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -> It
                 part["pos"] = place[max(1, i - PIECE + 1) : i + 1][::-1]
                 order.put(part)
         else:
-            for part in _small(reduced, names_depth) if m * 16 <= held else suffixes(reduced, count + 1, names_depth, held):
+            for part in _small(reduced, names_depth) if small else suffixes(reduced, count + 1, names_depth, held):
                 order.put(part)
     else:
         order = Log(ENTRY, held)
@@ -456,27 +509,17 @@ def suffixes(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -> It
         yield entries
 
 
-def _rough(text: np.ndarray, starts: np.ndarray, symbols: int, order: np.ndarray | None, held: int) -> Iterator[np.ndarray]:
+def _rough(text: np.ndarray, starts: np.ndarray, held: int) -> Iterator[np.ndarray]:
     """LMS suffixes by their first symbol alone, as seeds that share no more than it."""
-    if order is None:  # too many for one sort: the queue sorts them
-        queue = Queue(held)
-        for i in range(0, len(starts), PIECE):
-            some = np.zeros(len(starts[i : i + PIECE]), TUPLE)
-            some["pos"] = starts[i : i + PIECE]
-            queue.put(text[some["pos"]].astype(np.int64), some)
-    at, before = 0, NEVER
-    while True:
-        if order is None:
-            c = queue.first()
-            if c == TOP:
-                return
-            bound = queue.bound(PIECE)
-            pos = queue.take(bound)[1]["pos"] if bound > c else queue.take(c + 1, PIECE)[1]["pos"]
-        else:
-            pos = np.asarray(starts[order[at : at + PIECE]])
-            at += PIECE
-            if not len(pos):
-                return
+    queue = Queue(held)
+    for i in range(0, len(starts), PIECE):
+        some = np.zeros(len(starts[i : i + PIECE]), TUPLE)
+        some["pos"] = starts[i : i + PIECE]
+        queue.put(text[some["pos"]].astype(np.int64), some)
+    before = NEVER
+    while (c := queue.first()) < TOP:
+        bound = queue.bound(PIECE)
+        pos = queue.take(bound)[1]["pos"] if bound > c else queue.take(c + 1, PIECE)[1]["pos"]
         symbol = text[pos].astype(np.int64)
         same = np.append(before, symbol[:-1]) == symbol
         before = int(symbol[-1])

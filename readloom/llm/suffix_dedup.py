@@ -23,7 +23,7 @@ from readloom.llm.common import block_rows, block_texts, blocks, bucket_count, c
 from readloom.llm.exchange import ANSWERS, REQUESTS, answer, framed, meet, pack_sorted, request_batch, squeeze, tabled, to_bucket, unframed, unpack_sorted, unsqueeze
 from readloom.llm.induced import HELD, PIECE, Log, suffixes, table
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM = 100, 40
 #: Bytes of text in a block, and of text whose grams are hashed at once.
 BLOCK, STEP = 6 << 20, 1 << 20
 #: Bytes of fragments that are sorted at once, but for larger buckets.
