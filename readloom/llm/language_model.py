@@ -26,6 +26,8 @@ from readloom.llm.exchange import REQUESTS, answer, framed, meet, pack_sorted, r
 ORDER, MAX_ORDER = 3, 8
 #: Bytes of text in a block: it bounds the automaton that one task holds.
 BLOCK = 6 << 20
+#: Tokens that a traversal takes at once.
+SPAN = 256
 #: The token that ends every text; no word contains white space.
 END = b"\n"
 
@@ -54,20 +56,26 @@ class Grams:
             ids += [place.setdefault(w, len(place)) for w in words]
             sizes.append(len(words))
         self.sizes, self.words = np.array(sizes, np.int64), np.array(ids, np.int64)
-        hashes = np.array([xxh64_intdigest(w) for w in place], np.uint64)[self.words]
+        own = np.array([xxh64_intdigest(w) for w in place], np.uint64)
+        single, which = np.unique(_mix(own) & ~np.uint64(7), return_inverse=True)
+        hashes = own[self.words]
         doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        keys, valid, gram = [], [], np.zeros(len(ids), np.uint64)
-        for k in range(order):
+        keys, valid, gram = [np.zeros(0, np.uint64)], [], _mix(hashes)
+        for k in range(1, order):
             ok = np.arange(len(ids)) >= k
             ok[k:] &= doc[k:] == doc[: len(doc) - k]
-            gram = _mix((np.append(np.zeros(1, np.uint64), gram[:-1]) if k else gram) * np.uint64(0x9E3779B97F4A7C15) + hashes)
+            gram = _mix(np.append(np.zeros(1, np.uint64), gram[:-1]) * np.uint64(0x9E3779B97F4A7C15) + hashes)
             keys.append((gram & ~np.uint64(7) | np.uint64(k))[ok])
             valid.append(ok)
-        self.keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        self.at, start = [], 0
+        longer, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        both = np.concatenate([single, longer])
+        rising = np.argsort(both, kind="stable")
+        place_of = np.empty(len(both), np.int64)
+        place_of[rising] = np.arange(len(both))
+        self.keys, self.at, start = both[rising], [place_of[which[self.words]]], 0
         for ok in valid:
             at = np.full(len(ids), -1, np.int64)
-            at[ok] = inverse[start : start + ok.sum()]
+            at[ok] = place_of[len(single) + inverse[start : start + ok.sum()]]
             start += ok.sum()
             self.at.append(at)
 
@@ -78,7 +86,7 @@ class Grams:
 
 
 class Automaton:
-    """The reachable part of the model: arcs by (state, word), and failure arcs. State 0 has the empty context."""
+    """The reachable part of the model: an arc for each gram that training has, and failure arcs. State 0 has the empty context, state i + 1 that of gram i."""
 
     def __init__(self, grams: Grams, counts: np.ndarray, sums: list[tuple[int, int, int]]):
         """counts: of the grams, over the corpus. sums: for each order the tokens, the distinct grams and the grams seen once."""
@@ -86,50 +94,59 @@ class Automaton:
         n, kinds, _ = sums[0]
         shares = [min(0.999, max(0.001, once / tokens)) if tokens else 1.0 for tokens, _, once in sums]
         uniform = 1 / (kinds + 1)
-        self.stride = int(words.max()) + 1 if len(words) else 1
-        p, state = np.zeros(len(counts)), np.zeros(len(counts), np.int64)  # the state reached after a gram
-        fails, weights = np.full(len(counts) + 1, -1), np.full(len(counts) + 1, math.log10(shares[0] * uniform))
-        keys, logs, nexts = [], [], []
+        p, self.nexts = np.zeros(len(counts)), np.zeros(len(counts), np.int64)  # nexts: the state reached by an arc
+        self.fails, self.weights = np.full(len(counts) + 1, -1), np.full(len(counts) + 1, math.log10(shares[0] * uniform))
+        self.length = np.zeros(len(counts) + 1, np.int64)  # words of a state's context
         for k, at in enumerate(grams.at):
             i = np.flatnonzero(at >= 0)
             first = np.zeros(len(counts), np.int64)
             first[at[i[::-1]]] = i[::-1]
-            i = i[(first[at[i]] == i) & (counts[at[i]] > 0)]  # where grams occur first: arcs lie in memory as the traversal takes them
-            gram = at[i]
-            word = words[i]
+            i = i[(first[at[i]] == i) & (counts[at[i]] > 0)]  # where grams of the training texts occur first
+            gram, word = at[i], words[i]
             shorter = grams.at[k - 1][i] if k else None
             context = grams.at[k - 1][i - 1] if k else None
             g = shares[k]
             p[gram] = (1 - g) * counts[gram] / (counts[context] if k else n) + g * (p[shorter] if k else uniform)
             own = word != 0 if k < order - 1 else np.zeros(len(word), bool)
-            state[gram] = np.where(own, gram + 1, np.where(word != 0, state[shorter] if k else 0, 0))
-            source = context + 1 if k else np.zeros(len(gram), np.int64)
-            keys.append(source * self.stride + word)
-            logs.append(np.log10(p[gram]))
-            nexts.append(state[gram])
+            self.nexts[gram] = np.where(own, gram + 1, np.where(word != 0, self.nexts[shorter] if k else 0, 0))
+            self.length[gram + 1] = k + 1
             if k < order - 1:
-                fails[gram[own] + 1] = state[shorter[own]] if k else 0
-                weights[gram[own] + 1] = math.log10(shares[k + 1])
-        self.logs, self.nexts = np.concatenate(logs).tolist(), np.concatenate(nexts).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.logs))))
-        self.fails, self.weights = fails.tolist(), weights.tolist()
-
-    def score(self, words: list[int]) -> float:
-        arcs, logs, nexts, fails, weights, stride = self.arcs.get, self.logs, self.nexts, self.fails, self.weights, self.stride
-        state, total = 0, 0.0
-        for word in words:
-            arc = arcs(state * stride + word)
-            while arc is None:
-                total += weights[state]
-                state = fails[state]
-                if state < 0:  # an unknown word
-                    state = 0
-                    break
-                arc = arcs(state * stride + word)
-            else:
-                total += logs[arc]
-                state = nexts[arc]
-        return total
+                self.fails[gram[own] + 1] = self.nexts[shorter[own]] if k else 0
+                self.weights[gram[own] + 1] = math.log10(shares[k + 1])
+        self.logs = np.log10(np.where(p > 0, p, 1.0))
+        self.arcs = np.stack([np.where((at >= 0) & (counts[at] > 0), at, -1) for at in grams.at])  # by words of the context and token
+
+    def scores(self, sizes: np.ndarray) -> np.ndarray:
+        """The log probability of each text: all are traversed from left to right side by side, in spans of SPAN tokens.
+
+        A span takes up the state of the one before by reading the last words before it, as no state has a longer context.
+        """
+        reach, starts = len(self.arcs) - 1, np.cumsum(sizes) - sizes
+        spans = -(-sizes // SPAN)
+        text = np.repeat(np.arange(len(sizes)), spans)
+        first = starts[text] + SPAN * (np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans))
+        last = np.minimum(first + SPAN, (starts + sizes)[text])
+        at, state, total = np.maximum(first - reach, starts[text]), np.zeros(len(text), np.int64), np.zeros(len(text))
+        live = np.arange(len(text))
+        while len(live):
+            now, here, gain = state[live], at[live], np.zeros(len(live))
+            todo = np.arange(len(live))
+            while len(todo):
+                arc = self.arcs[self.length[now[todo]], here[todo]]
+                found = arc >= 0
+                gain[todo[found]] += self.logs[arc[found]]
+                now[todo[found]] = self.nexts[arc[found]]
+                todo = todo[~found]
+                gain[todo] += self.weights[now[todo]]
+                now[todo] = self.fails[now[todo]]
+                unknown = now[todo] < 0
+                now[todo[unknown]] = 0
+                todo = todo[~unknown]
+            state[live] = now
+            total[live] += np.where(here >= first[live], gain, 0.0)
+            at[live] += 1
+            live = live[at[live] < last[live]]
+        return np.add.reduceat(total, np.cumsum(spans) - spans)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -186,9 +203,7 @@ def score(docs: DataFrame, order: int = ORDER, parts: int = 7, part: int = 2) ->
         starts = np.cumsum(grams.sizes) - grams.sizes
         base = np.add.reduceat(np.log10((own + 1) / (n + kinds + 1)), starts)
         known = np.add.reduceat((own > 0).astype(np.int64), starts)
-        words = grams.words.tolist()
-        scores = [automaton.score(words[s : s + k]) for s, k in zip(starts.tolist(), grams.sizes.tolist())]
-        out = [ids, [held_out(i, parts, part) for i in ids], grams.sizes, known, [n] * len(ids), base, scores]
+        out = [ids, [held_out(i, parts, part) for i in ids], grams.sizes, known, [n] * len(ids), base, automaton.scores(grams.sizes)]
         return tabled([x.split()[0] for x in SCORES.split(", ")], out, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
 
     return meet(answers, block_rows(scan, BLOCK), traverse, SCORES)

@@ -217,7 +217,7 @@ def test_suffix_dedup_keeps_columns_and_characters(spark, odd):
 
 def test_blocks_that_change_are_refused(spark, sample):
     """A table that gives other rows in the second pass fails the job, rather than giving wrong results."""
-    from readloom.llm.exchange import REQUESTS, answer, meet, request_batch
+    from readloom.llm.exchange import REQUESTS, answer, meet
     from readloom.llm.common import block_rows, utf8
 
     scan = sample[0].select("doc_id", utf8())
