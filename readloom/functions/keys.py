@@ -2,7 +2,8 @@
 
 k-mers pack two bits a base, A C G T as 0 1 2 3, the first base highest; the canonical value is the lesser of a k-mer and its
 reverse complement. A minimizer here is the least canonical k-mer of the read: the order of k-mers is that of their values, so
-the least one is the minimizer of every window that holds it, and the window only sets the least length of a read.
+the least one is the minimizer of every window that holds it, and the window only sets the least length of a read. The minimizers
+of all windows are there as well.
 """
 
 from __future__ import annotations
@@ -64,6 +65,17 @@ def minimizer(sequence: Column, k: int = MINIMIZER_K, w: int = MINIMIZER_W) -> C
     return F.when(usable, F.aggregate(F.filter(codes, lambda x: x != ""), start, push, lambda a: a["least"]))
 
 
+def window_minimizers(sequence: Column, k: int = MINIMIZER_K, w: int = MINIMIZER_W) -> Column:
+    """The distinct least canonical k-mers of all windows of w k-mers, rising; null where ``minimizer`` is, whose value is the first of them."""
+    if not (1 <= k <= 32 and w >= 1):
+        raise InvalidOption("k must be from 1 to 32 and w at least 1")
+    upper = _upper(sequence)
+    kmers = F.transform(F.sequence(F.lit(1), F.length(sequence) - k + 1), lambda i: canonical_kmer(F.substr(upper, i, F.lit(k)), k))
+    least = lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_) - w + 1), lambda i: F.array_min(F.slice(all_, i, w)))
+    chosen = F.get(F.transform(F.array(kmers), least), F.lit(0))  # so that k-mers are made once for all windows
+    return F.when(sequence.rlike(rf"^[ACGTacgt]{{{k + w - 1},}}\z"), F.array_sort(F.array_distinct(chosen)))
+
+
 def little_endian(value: Column) -> Column:
     """A k-mer's value as eight bytes, the lowest first. Sorting these does not sort the values."""
     big = F.lpad(F.hex(value), 16, "0")

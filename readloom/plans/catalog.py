@@ -120,6 +120,8 @@ def _register() -> None:
         _column(f"prefix_kmer_{k}", lambda k=k: keys.prefix_kmer(C("sequence"), k).cast("string"), f"CAST({_prefix(k)} AS VARCHAR)", "key")
     for k, w in ((31, 15), (5, 7)):
         _column(f"minimizer_{k}_{w}", lambda k=k, w=w: keys.minimizer(C("sequence"), k, w).cast("string"), f"CAST({_minimizer(k)} AS VARCHAR)", "key")
+    kmers = f"list_transform(range(1, CAST(length(sequence) AS BIGINT) - 3), lambda j: {_canonical(f'substr({UPPER}, CAST(j AS INT), 5)')})"
+    _add("window_minimizers_5_7", lambda s, d: reads(s, d).select("event_id", F.array_join(keys.window_minimizers(C("sequence"), 5, 7).cast("array<string>"), ",").alias("keys")), f"SELECT event_id, CASE WHEN usable THEN array_to_string(list_transform(list_sort(list_distinct(list_transform(range(1, len(kmers) - 5), lambda j: list_min(kmers[j : j + 6])))), lambda m: {_value('m', 5)}), ',') END AS keys FROM (SELECT event_id, regexp_matches(sequence, '^[ACGTacgt]{{11,}}$') AS usable, {kmers} AS kmers FROM reads) AS x")
     _column("prefix_kmer_le_bytes", lambda: F.hex(keys.little_endian(keys.prefix_kmer(C("sequence"), 31))), f"CASE WHEN {_prefix(31)} IS NOT NULL THEN list_aggregate(list_transform(range(0, 8), lambda i: printf('%02X', ({_prefix(31)} >> (8 * i)) & 255)), 'string_agg', '') END", "key")
     for n in (8, 16):
         _column(f"bytes{n}_prefix_key", lambda n=n: F.hex(keys.prefix_bytes(text.to_bytes(C("sequence")), n)), f"rpad(substr(hex(encode(sequence)), 1, {2 * n}), {2 * n}, '0')", "key")

@@ -224,6 +224,23 @@ def test_long_reads_are_packed_in_linear_time(spark):
     assert all(r.sequence == r.again for r in got) and time.perf_counter() - start < 20
 
 
+def test_window_minimizers(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ACGTacgt") for _ in range(n)) for n in (0, 3, 10, 11, 12, 40, 90)] + ["ACGTN" * 8]
+    turn = str.maketrans("ACGT", "TGCA")
+
+    def brute(s, k, w):
+        if len(s) < k + w - 1 or set(s) - set("ACGTacgt"):
+            return None
+        value = lambda x: sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(x)))
+        kmers = [min(value(x), value(x[::-1].translate(turn))) for x in (s.upper()[i : i + k] for i in range(len(s) - k + 1))]
+        return sorted({min(kmers[i : i + w]) for i in range(len(kmers) - w + 1)})
+
+    got = spark.createDataFrame([(t,) for t in texts], "sequence string").select(keys.window_minimizers(F.col("sequence"), 5, 7).alias("m"), keys.minimizer(F.col("sequence"), 5, 7).alias("least")).collect()
+    assert [r.m for r in got] == [brute(t, 5, 7) for t in texts]
+    assert all(r.least == (r.m[0] if r.m else None) for r in got)
+
+
 def test_keys_are_derived_once(spark):
     from readloom.plans.catalog import queries
 
